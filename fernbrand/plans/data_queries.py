@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernbrand.operators import times
+from fernbrand.functions.units import COMMON
+from fernbrand.operators import times, units
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,4 +25,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found}
+FIELDS = ["temperature", "wind_speed", "precipitation"]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remarks = _read(spark, sf_dir, "weather_feed", "feed_id", "remarks")
+    weather = _read(spark, sf_dir, "weather", "obs_id", "feed_id", *FIELDS, "unit_note")
+    values = units.convert_units(weather, ["obs_id"], FIELDS, "feed_id", "unit_note", remarks)
+    other = ~F.concat_ws(" ", "field_name", "unit").isin(*[f"{f} {u}" for f, u in COMMON.items()])
+    return values.where(F.col("common_value").isNotNull() & other).select("obs_id", "field_name", F.round(F.col("common_value") * 1000).cast("long").alias("common_milli"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+
+ORACLES: dict[str, str] = {}
