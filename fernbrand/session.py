@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +43,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder belongs to it
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it from there.
 
-    The copy outlives lost executors, and later actions don't run what came before it again.
+    The copy outlives lost executors, and later actions don't run what came before it again. It
+    is a compressed columnar table, removed when the driver ends.
     """
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark).rstrip('/')}/fernbrand-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
