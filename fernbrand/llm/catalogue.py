@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernbrand.llm import leaks, mixing
+from fernbrand.llm import abuse, leaks, mixing
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -34,8 +35,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixes(spark, sf_dir)[1]
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), _read(spark, sf_dir, "abuse_label", "snippet", "category"), ["source"])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("abuse_score") >= abuse.CASE).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares}
+    return {"p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 _TEXT = "regexp_replace(coalesce({}, ''), '[^A-Za-z0-9]+', ' ', 'g')"
