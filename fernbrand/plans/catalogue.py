@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernbrand.plans import data_queries
+from fernbrand.plans import data_queries, reference_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p1_found(spark, sf_dir)
+    return reference_queries.weather_classify(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(data_queries.QUERIES)
+    return reference_queries.QUERIES | data_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data_queries.ORACLES)
+    return reference_queries.ORACLES | data_queries.ORACLES
