@@ -126,17 +126,16 @@ def interpolate(obs: DataFrame, keys: list[str], second_col: str, values: list[s
 
     Each reading yields the instants of the interval it begins, so nothing is compared with all.
     """
-    order = Window.partitionBy(*keys).orderBy(second_col)
+    order = Window.partitionBy(*keys).orderBy("_s")
     columns = [*values, *angles]
     last = F.max_by(F.struct(*columns), F.struct(*columns))
-    once = obs.where(F.col(second_col).isNotNull()).groupBy(*keys, second_col).agg(last.alias("_v"))
-    pairs = once.withColumns({"_next": F.lead(second_col).over(order), "_after": F.lead("_v").over(order), "_first": F.row_number().over(order) == 1})
-    end = start + step * (steps - 1)
-    low = F.when(F.col("_first"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((F.col(second_col) - start) / step) + 1))
+    once = obs.where(F.col(second_col).isNotNull()).groupBy(*keys, F.col(second_col).alias("_s")).agg(last.alias("_v"))
+    pairs = once.withColumns({"_next": F.lead("_s").over(order), "_after": F.lead("_v").over(order), "_first": F.row_number().over(order) == 1})
+    low = F.when(F.col("_first"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((F.col("_s") - start) / step) + 1))
     high = F.when(F.col("_next").isNull(), F.lit(steps - 1)).otherwise(F.least(F.lit(steps - 1), F.floor((F.col("_next") - start) / step)))
-    ticks = pairs.withColumns({"_low": low.cast("int"), "_high": high.cast("int")}).where((F.col("_low") <= F.col("_high")) & F.lit(end >= start))
+    ticks = pairs.withColumns({"_low": low.cast("int"), "_high": high.cast("int")}).where(F.col("_low") <= F.col("_high"))
     rows = ticks.withColumn("step", F.explode(F.sequence("_low", "_high"))).withColumn("second", start + F.col("step").cast("long") * step)
-    weight = F.when(F.col("_next").isNull() | (F.col("second") <= F.col(second_col)), 0.0).otherwise((F.col("second") - F.col(second_col)) / (F.col("_next") - F.col(second_col)))
+    weight = F.when(F.col("_next").isNull() | (F.col("second") <= F.col("_s")), 0.0).otherwise((F.col("second") - F.col("_s")) / (F.col("_next") - F.col("_s")))
     rows = rows.withColumn("_w", weight)
     w = F.col("_w")
     mixed = {v: F.when(w == 0, F.col(f"_v.{v}")).otherwise(F.col(f"_v.{v}") * (1 - w) + F.col(f"_after.{v}") * w) for v in values}
