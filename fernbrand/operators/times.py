@@ -27,6 +27,9 @@ MIN_SHARE = 0.01
 #: An interpretation counts as decided from this posterior on.
 MIN_POSTERIOR = 0.95
 
+#: Names of the columns that are added in between.
+_OWN = ("__time_source", "__time_share", "__time")
+
 _NUMERIC = r"^ *\d{1,2}[/.]\d{1,2}[/.](?:\d{4}|\d{2})(?![0-9])"
 
 
@@ -103,12 +106,12 @@ def resolve_times(
     columns pass through, and columns named like the three new ones are replaced.
     """
     df = df.drop("utc_second", "time_status", "time_posterior")
-    orders = broadcast_if_small(fit_orders(df, date_col, source_col).select(F.col("source").alias("_source"), "share_dmy"))
+    orders = broadcast_if_small(fit_orders(df, date_col, source_col).select(F.col("source").alias(_OWN[0]), F.col("share_dmy").alias(_OWN[1])))
     text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     return (
-        df.join(orders, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-        .withColumn("_time", _resolved(text(date_col), text(hour_col), "share_dmy", text(zone_col), text(clock_col)))
-        .select(*df.columns, F.col("_time.second").alias("utc_second"), F.col("_time.status").alias("time_status"), F.col("_time.posterior").alias("time_posterior"))
+        df.join(orders, F.col(source_col).eqNullSafe(F.col(_OWN[0])), "left")
+        .withColumn(_OWN[2], _resolved(text(date_col), text(hour_col), _OWN[1], text(zone_col), text(clock_col)))
+        .select(*df.columns, F.col(f"{_OWN[2]}.second").alias("utc_second"), F.col(f"{_OWN[2]}.status").alias("time_status"), F.col(f"{_OWN[2]}.posterior").alias("time_posterior"))
     )
 
 
@@ -123,19 +126,19 @@ def feed_clock(remarks: Column) -> Column:
 
 def station_zones(station: DataFrame) -> DataFrame:
     """One row a station: ``station_code`` and its zone (the least if its rows differ)."""
-    return station.where(F.col("station_code").isNotNull()).groupBy("station_code").agg(F.min("time_zone").alias("_tz"))
+    return station.where(F.col("station_code").isNotNull()).groupBy("station_code").agg(F.min("time_zone").alias("__station_zone"))
 
 
 def weather_times(weather: DataFrame, feed: DataFrame, station: DataFrame) -> DataFrame:
     """``resolve_times`` over the written dates and hours of ``weather``, by feed."""
-    clocks = feed.groupBy("feed_id").agg(F.min(feed_clock(F.col("remarks"))).alias("_feed_clock"))
+    clocks = feed.groupBy("feed_id").agg(F.min(feed_clock(F.col("remarks"))).alias("__feed_clock"))
     columns = [c for c in weather.columns if c not in ("utc_second", "time_status", "time_posterior")]
     joined = weather.join(broadcast_if_small(clocks), "feed_id", "left").join(broadcast_if_small(station_zones(station)), "station_code", "left")
-    return resolve_times(joined, "obs_date", "obs_hour", "feed_id", "_tz", "_feed_clock").select(*columns, "utc_second", "time_status", "time_posterior")
+    return resolve_times(joined, "obs_date", "obs_hour", "feed_id", "__station_zone", "__feed_clock").select(*columns, "utc_second", "time_status", "time_posterior")
 
 
 def record_times(record: DataFrame, station: DataFrame) -> DataFrame:
     """``resolve_times`` over ``obs_datetime`` of ``weather_record``, by station."""
     columns = [c for c in record.columns if c not in ("utc_second", "time_status", "time_posterior")]
     joined = record.join(broadcast_if_small(station_zones(station)), "station_code", "left")
-    return resolve_times(joined, "obs_datetime", None, "station_code", "_tz").select(*columns, "utc_second", "time_status", "time_posterior")
+    return resolve_times(joined, "obs_datetime", None, "station_code", "__station_zone").select(*columns, "utc_second", "time_status", "time_posterior")

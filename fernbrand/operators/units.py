@@ -36,10 +36,10 @@ def _log_bin(common: Column, field: str) -> Column:
 def _with_remarks(df: DataFrame, source_col: str, remarks: DataFrame | None) -> DataFrame:
     """``df`` with ``_remarks``: the free text on the row's source (the least if there are several)."""
     if remarks is None:
-        return df.withColumn("_remarks", F.lit(None).cast("string"))
+        return df.withColumn("__unit_remarks", F.lit(None).cast("string"))
     key, text = remarks.columns
-    texts = remarks.groupBy(F.col(key).alias("_source")).agg(F.min(text).alias("_remarks"))
-    return df.join(broadcast_if_small(texts), F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    texts = remarks.groupBy(F.col(key).alias("__unit_source")).agg(F.min(text).alias("__unit_remarks"))
+    return df.join(broadcast_if_small(texts), F.col(source_col).eqNullSafe(F.col("__unit_source")), "left").drop("__unit_source")
 
 
 def long_values(df: DataFrame, keys: list[str], fields: list[str], source_col: str, note_col: str | None, remarks: DataFrame | None) -> DataFrame:
@@ -52,9 +52,9 @@ def long_values(df: DataFrame, keys: list[str], fields: list[str], source_col: s
     """
     note = F.col(note_col) if note_col else F.lit(None).cast("string")
     read = _with_remarks(df, source_col, remarks).select(
-        *keys, F.col(source_col).alias("source"), *[READERS[f](F.col(f).cast("string"), note, F.col("_remarks")).alias(f"_{f}") for f in fields]
+        *keys, F.col(source_col).alias("source"), *[READERS[f](F.col(f).cast("string"), note, F.col("__unit_remarks")).alias(f"__unit_{f}") for f in fields]
     )
-    entries = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_{f}").alias("v")) for f in fields])
+    entries = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"__unit_{f}").alias("v")) for f in fields])
     rows = read.select(*keys, "source", F.explode(entries).alias("e")).where(F.col("e.v.number").isNotNull())
     return rows.select(*keys, "source", "e.field_name", "e.v.number", "e.v.unit", "e.v.unit_from", "e.v.common")
 
@@ -189,5 +189,5 @@ def convert_units(
 def with_milli(df: DataFrame, fields: list[str], source_col: str, note_col: str, remarks: DataFrame) -> DataFrame:
     """``df`` with ``<field>_milli``: thousandths of the common unit, which counts where no unit is
     given; null where the value isn't readable or its unit isn't known."""
-    read = {f"{f}_milli": MILLI[f](F.col(f).cast("string"), F.col(note_col), F.col("_remarks")) for f in fields}
-    return _with_remarks(df, source_col, remarks).withColumns(read).drop("_remarks")
+    read = {f"{f}_milli": MILLI[f](F.col(f).cast("string"), F.col(note_col), F.col("__unit_remarks")) for f in fields}
+    return _with_remarks(df, source_col, remarks).withColumns(read).drop("__unit_remarks")
