@@ -111,7 +111,7 @@ def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | None
         amounts = water_fill(weights, caps, largest_exact_total(weights, caps) if total_tokens is None else total_tokens)
         for r, amount in zip(part, amounts):
             n = have.get(r["source"], 0)
-            whole = min(int(amount // n), r["max_repeats"]) if n else 0
+            whole = min(int(amount // n), r["max_repeats"] or 0) if n else 0
             out.append(r | {"available_tokens": n, "planned_tokens": float(amount), "whole": whole, "rest": float(amount - whole * n) if whole < (r["max_repeats"] or 0) else 0.0})
     return out
 
