@@ -1 +1 @@
-
+"""Daily moisture codes and rain as streams."""
