@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernbrand.functions.units import COMMON
 from fernbrand.operators import neighbours, percentiles, regular, spikes, times, trailing, units
+from fernbrand.plans import data_oracles
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -113,7 +114,7 @@ QUERIES = {
 _NAMES = """case when lower(trim({c})) in ({names}) then upper(substr(trim({c}), 1, 1)) || lower(substr(trim({c}), 2)) else 'Unknown' end"""
 _CAUSE, _SEASON = _NAMES.format(c="cause", names="'lightning', 'human'"), _NAMES.format(c="season", names="'spring', 'summer', 'fall', 'winter'")
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = data_oracles.ORACLES | {
     "p2_found": """
         with p as (select distinct ignition_id id, round(x * 100)::bigint x, round(y * 100)::bigint y from ignition
                    where ignition_id is not null and isfinite(x) and isfinite(y)),
