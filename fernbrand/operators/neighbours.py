@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fernbrand.session import cut
 
 #: Points that a range of latitude should hold, and the most ranges.
 RANGE_POINTS, MOST_RANGES = 50_000, 4_000
@@ -87,12 +90,11 @@ def near_pairs(df: DataFrame, id_col: str, x_col: str, y_col: str, distance: flo
     reach = float(distance * unit)
     if reach < 0:
         return points.limit(0).select(F.col("_id").alias("id_a"), F.col("_id").alias("id_b"))
+    points = cut(points)
     width = max(reach, 1e-9) * CELL
     bounds = _ranges(points, reach)
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    home_r = F.size(F.filter(edges, lambda b: b <= F.col("_y"))) if len(bounds) <= 16 else _bucket(bounds)
-    home = points.withColumns({"_home_r": home_r.cast("int"), "_home_c": F.floor(F.col("_x") / width)})
-    below = (F.col("_home_r") > 0) & (F.col("_y") <= F.get(edges, F.col("_home_r") - 1) + reach)
+    home = points.withColumns({"_home_r": _range_of(bounds)("_y") if bounds else F.lit(0), "_home_c": F.floor(F.col("_x") / width)})
+    below = F.lit(False) if not bounds else _range_of([b + reach for b in bounds], "left")("_y") < F.col("_home_r")
     left = F.col("_x") <= F.col("_home_c") * width + reach
     spread = home.withColumn("_r", F.explode(F.when(below, F.array(F.col("_home_r"), F.col("_home_r") - 1)).otherwise(F.array("_home_r"))))
     spread = spread.withColumn("_c", F.explode(F.when(left, F.array(F.col("_home_c"), F.col("_home_c") - 1)).otherwise(F.array("_home_c"))))
@@ -108,13 +110,12 @@ def _several_places(points: DataFrame) -> bool:
     return bool(points.groupBy("_id").count().where("count > 1").limit(1).count())
 
 
-def _bucket(bounds: list[float]):
-    """Number of ``bounds`` at or below ``_y``, by halving: an expression of logarithmic depth."""
+def _range_of(bounds: list[float], side: str = "right"):
+    """An expression for the number of ``bounds`` at or below a value (``left``: below it)."""
+    sorted_bounds = np.array(bounds)
 
-    def tree(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("_y") < float(bounds[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
+    @F.arrow_udf(T.IntegerType())
+    def place(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(sorted_bounds, values.to_numpy(zero_copy_only=False), side), pa.int32())
 
-    return tree(0, len(bounds))
+    return place
