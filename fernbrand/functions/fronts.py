@@ -56,6 +56,20 @@ def perimeter(ring: np.ndarray) -> float:
     return float(np.hypot(change[:, 0], change[:, 1]).sum())
 
 
+def clip(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """The part of a polygon in a box (west, south, east, north), one side of the box after another."""
+    for axis, bound, sign in ((0, box[0], 1), (1, box[1], 1), (0, box[2], -1), (1, box[3], -1)):
+        out = []
+        for p, q in zip(ring, np.roll(ring, -1, 0)):
+            a, b = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if a >= 0:
+                out.append(p)
+            if (a >= 0) != (b >= 0):
+                out.append(p + a / (a - b) * (q - p))
+        ring = np.array(out).reshape(-1, 2)
+    return ring
+
+
 def bilinear(grid: np.ndarray, xs: np.ndarray, ys: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Values at points of a grid whose rows run from ``ys[0]`` to ``ys[-1]``; clamped to its edge."""
     rows, cols = grid.shape

@@ -114,13 +114,12 @@ def final_rings(rings: DataFrame) -> DataFrame:
     return rings.join(last, (F.col("fire_id") == F.col("_f")) & (F.col("t_min") == F.col("_t"))).drop("_f", "_t")
 
 
-def burn_probability(rings: DataFrame, grid: DataFrame, size: float) -> DataFrame:
-    """Share of the rings that strictly hold each cell's centre.
+def cells_inside(rings: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+    """``fire_id``, ``grid_row``, ``grid_col`` of the cells whose centre lies strictly in a ring.
 
-    A ring is sent to the rows of the cells that it spans, and each row is cut where its edges
-    cross it, so a cell is only compared with rings in its row.
+    A ring is sent to the rows of cells that it spans, and each row is cut where its edges cross
+    it, so a cell is only compared with rings in its row.
     """
-    n = rings.select("fire_id").distinct().count()
     _, after = _around(["fire_id"])
     edges = rings.withColumns({"_x": after("x"), "_y": after("y")})
     low, high = F.least("y", "_y"), F.greatest("y", "_y")
@@ -129,14 +128,31 @@ def burn_probability(rings: DataFrame, grid: DataFrame, size: float) -> DataFram
     crossed = edges.withColumns({"_a": first, "_b": last}).where(F.col("_a") <= F.col("_b")).withColumn("_k", F.explode(F.sequence("_a", "_b")))
     centre = (F.col("_k") + 0.5) * size
     cut = crossed.select("fire_id", F.col("_k").alias("k"), (F.col("x") + (centre - F.col("y")) / (F.col("_y") - F.col("y")) * (F.col("_x") - F.col("x"))).alias("cx"))
-    rows = grid.withColumn("k", F.round(F.col("y") / size - 0.5).cast("long"))
+    rows = grid.select("grid_row", "grid_col", "x", F.round(F.col("y") / size - 0.5).cast("long").alias("k"))
     order = Window.partitionBy("fire_id", "k").orderBy("cx")
     spans = cut.withColumns({"_i": F.row_number().over(order), "_end": F.lead("cx").over(order)}).where((F.col("_i") % 2 == 1) & F.col("_end").isNotNull())
     inside = rows.join(spans.select("fire_id", "k", F.col("cx").alias("_start"), "_end"), "k").where((F.col("x") > F.col("_start")) & (F.col("x") < F.col("_end")))
-    held = inside.groupBy("grid_row", "grid_col").agg(F.countDistinct("fire_id").alias("_n"))
+    return inside.select("fire_id", "grid_row", "grid_col").distinct()
+
+
+def burn_probability(rings: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+    """Share of the rings that strictly hold each cell's centre."""
+    n = rings.select("fire_id").distinct().count()
+    held = cells_inside(rings, grid, size).groupBy("grid_row", "grid_col").agg(F.count("*").alias("_n"))
     return grid.select("grid_row", "grid_col").join(held, ["grid_row", "grid_col"], "left").select("grid_row", "grid_col", (F.coalesce("_n", F.lit(0)) / float(max(n, 1))).alias("burn_probability"))
 
 
+def clip_rings(rings: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rings cut to a box (west, south, east, north); rings outside it are left out. One ring at a time."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = fronts.clip(pdf.sort_values("vertex_id")[["x", "y"]].to_numpy(), box)
+        return pd.DataFrame({"fire_id": pdf["fire_id"].iloc[0], "vertex_id": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]})
+
+    kind = dict(rings.dtypes)["fire_id"]
+    return rings.select("fire_id", "vertex_id", "x", "y").groupBy("fire_id").applyInPandas(one, f"fire_id {kind}, vertex_id int, x double, y double")
+
+
 def size_histogram(results: DataFrame, area: str, bins: int = 30) -> DataFrame:
     """Counts of fires by ``bins`` equal intervals of their area (over 0), with mean and median of all."""
     real = results.where((F.col(area) > 0) & ~F.isnan(area))
@@ -164,3 +180,16 @@ def extent(points: DataFrame, margin: float = 0.1) -> DataFrame:
 def overlaps(box: tuple[float, float, float, float], x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Whether boxes overlap (west, south, east, north)."""
     return (x0 < box[2]) & (x1 > box[0]) & (y0 < box[3]) & (y1 > box[1])
+
+
+def ignition_diagnostics(points: DataFrame, cells: DataFrame, row: Column, col: Column, values: list[str]) -> DataFrame:
+    """``points`` with the values of the cell that holds each; null outside the grid."""
+    side = cells.select(F.col("grid_row").alias("_gr"), F.col("grid_col").alias("_gc"), *values)
+    return points.withColumns({"_pr": row, "_pc": col}).join(side, (F.col("_pr") == F.col("_gr")) & (F.col("_pc") == F.col("_gc")), "left").drop("_pr", "_pc", "_gr", "_gc")
+
+
+def rate_statistics(rates: DataFrame, value: str = "head_ros") -> DataFrame:
+    """Least, greatest and mean rate over 0, their number, and the 99th percentile of all."""
+    v = F.when(~F.isnan(value), F.col(value))
+    positive = F.when(v > 0, v)
+    return rates.agg(F.min(positive).alias("least"), F.max(positive).alias("most"), F.avg(positive).alias("mean"), F.count(positive).alias("n"), F.percentile(v, F.lit(0.99)).alias("p99"))

@@ -466,6 +466,34 @@ def burn_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("grid_row", "grid_col", _r("burn_probability", "burn_probability"))
 
 
+@query(f"""with e as {_NEXT} select fire_id, grid_row, grid_col from (select grid_row, grid_col, x cx, y cy from {duck('cells')}) c join e on (y <= cy and cy < y1) or (y1 <= cy and cy < y)
+    where x + (cy - y) / (y1 - y) * (x1 - x) > cx group by 1, 2, 3 having count(*) % 2 = 1""")
+def polygon_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fires.cells_inside(load(spark, sf_dir, "ring"), load(spark, sf_dir, "cells"), SIZE)
+
+
+_CLIP = (300.0, -90.0, 900.0, 0.0)
+
+
+@query()
+def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fires.ring_measures(fires.clip_rings(load(spark, sf_dir, "ring"), _CLIP), ["fire_id"]).select("fire_id", _r("area_ha", "area_ha"))
+
+
+@query(f"""select round(min(h) filter (h > 0), 6) least, round(max(h) filter (h > 0), 6) most, round(avg(h) filter (h > 0), 6) mean, count(*) filter (h > 0) n, round(quantile_cont(h, 0.99), 6) p99
+    from (select {_BY_FUEL} h from {duck('cells')})""")
+def ros_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fires.rate_statistics(ros_grid(spark, sf_dir))
+    return out.select(*[_r(c, c) for c in ("least", "most", "mean")], "n", _r("p99", "p99"))
+
+
+@query(f"""select fire_id, fuel_id, elev from {duck('ignitions')} i left join (select grid_row, grid_col, fuel_id, elev from {duck('cells')}) c
+    on c.grid_row = floor(-i.y / 30e0) and c.grid_col = floor(i.x / 30e0)""")
+def ignition_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row, col = grid.cell_at(F.col("x"), F.col("y"), LEFT, TOP, SIZE)
+    return fires.ignition_diagnostics(load(spark, sf_dir, "ignitions"), load(spark, sf_dir, "cells"), row, col, ["fuel_id", "elev"]).select("fire_id", "fuel_id", "elev")
+
+
 @query("""with r as (select final_area_ha a from fire_result where final_area_ha > 0 and not isnan(final_area_ha)), f as (select min(a) lo, max(a) hi, avg(a) m, median(a) d from r)
     select cast(least(29, floor(case when hi > lo then (a - lo) / ((hi - lo) / 30) else 0e0 end)) as int) bin, round(m, 4) mean_area, round(d, 6) median_area, count(*) n_fires from r cross join f group by all""")
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,6 +534,13 @@ def tile_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.select("lat", "lon", name.alias("tile"))
 
 
+@query("select d::date first_day, least(d + interval 9 day, timestamp '2020-10-01')::date last_day from (select unnest(range(timestamp '2020-05-01', timestamp '2020-10-02', interval 10 day)) d)")
+def date_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of ten days that cover a season, as a download takes them."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("2020-05-01").cast("date"), F.lit("2020-10-01").cast("date"), F.expr("interval 10 days"))).alias("first_day"))
+    return days.select("first_day", F.least(F.date_add("first_day", 9), F.lit("2020-10-01").cast("date")).alias("last_day"))
+
+
 @query("select station_code, latitude, longitude from station where longitude - 0.5e0 < -60 and longitude + 0.5e0 > -120 and latitude - 0.5e0 < 60 and latitude + 0.5e0 > 50")
 def bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/station.parquet")

@@ -81,6 +81,13 @@ def test_fronts():
     assert fronts.bilinear(np.full((4, 5), 5.0), np.arange(5.0), np.arange(4.0)[::-1], np.array([[2.2, 1.7], [99.0, -99.0]])) == pytest.approx([5, 5])
 
 
+def test_clip():
+    square = np.array([[0.0, 0], [10, 0], [10, 10], [0, 10]])
+    assert fronts.area(fronts.clip(square, (5, 5, 20, 20))) == 25 and len(fronts.clip(square, (20, 20, 30, 30))) == 0
+    ring = fronts.circle(0.0, 0.0, 5.0, 200)
+    assert fronts.area(fronts.clip(ring, (0, -9, 9, 9))) == pytest.approx(fronts.area(ring) / 2)
+
+
 def test_steps_as_relations_equal_the_integrator(spark):
     ring = fronts.circle(0.0, 0.0, 10.0, 60)
     rows = [(7, i, *map(float, p)) for i, p in enumerate(ring)]
