@@ -35,10 +35,11 @@ def simulate(spark: SparkSession, settings: config.Config) -> str:
     steps = settings.simulation.steps
     line = spark.range(1).select(F.lit(0).alias("step"), *[F.lit(usual[k]).alias(k) for k in ("isi", "bui", "wd", "temp", "rh")])
     ground = cells.slope_aspect(grid, "elev", size).withColumn("zero_ros", F.lit(False))
-    rates = cut(cells.spread_grid(ground, line, settings.spread.slope_strength, settings.spread.backing_share, settings.spread.length_to_breadth))
-    most = rates.agg((F.coalesce(F.max("head_ros"), F.lit(0.0)) * steps * settings.simulation.dt).alias("most_ros")).withColumn("step", F.lit(0))
-    rings = cut(fires.grow_fires(spark.read.parquet(settings.inputs.ignitions), rates, most, steps, {"left": corner["x0"] - size / 2, "top": corner["y0"] + size / 2, "size": size},
-                                 settings.simulation.n_vertices, settings.simulation.initial_radius, settings.simulation.store_every, settings.simulation.use_markers))
+    sim, spread = settings.simulation, settings.spread
+    rings = cut(fires.grow_fires(
+        spark.read.parquet(settings.inputs.ignitions), ground, line, steps, {"left": corner["x0"] - size / 2, "top": corner["y0"] + size / 2, "size": size}, sim.n_vertices, sim.initial_radius,
+        sim.store_every, sim.use_markers, sim.dt, sim.min_ros, spread.slope_strength, spread.backing_share, spread.length_to_breadth,
+    ))
     last = fires.final_rings(rings)
     summary = fires.ring_measures(last, ["fire_id", "t_min"]).withColumnRenamed("t_min", "dur_min")
     tables.write_results(rings, summary, settings.output)

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernbrand.functions import fronts
+from fernbrand.functions import fronts, ros
+from fernbrand.operators.cells import fuel_rates
 
 RINGS = "fire_id bigint, t_min double, vertex_id int, x double, y double"
 
@@ -63,46 +64,87 @@ def turning(points: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys, "point_id").agg(F.rint(F.sum(turn) / (2 * F.pi())).cast("int").alias("turning_number"))
 
 
-def grow_fires(ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, n: int = 300, radius: float = 0.5, every: int = 10, markers: bool = True) -> DataFrame:
+#: Steps times fuels whose rates the driver may hold and send to the tasks.
+MOST_RATES = 2_000_000
+
+
+def _timeline(weather: DataFrame, steps: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Wind, temperature and humidity of each step, and the rates of each fuel (columns), in order of steps."""
+    names = [*ros.FUELS, "NF"]
+    rows = fuel_rates(weather.where((F.col("step") >= 0) & (F.col("step") < steps)), names).select("step", "fuel", "head_ros", "wd", "temp", "rh").limit(MOST_RATES + 1).collect()
+    if len(rows) > MOST_RATES:
+        raise ValueError("too many steps for one run; grow the fires in parts")
+    times = sorted({r["step"] for r in rows})
+    at = {t: i for i, t in enumerate(times)}
+    rates, lines = np.zeros((len(times), len(names))), {k: np.zeros(len(times)) for k in ("wd", "temp", "rh")}
+    for r in rows:
+        rates[at[r["step"]], names.index(r["fuel"])] = r["head_ros"]
+        for k, line in lines.items():
+            line[at[r["step"]]] = r[k]
+    return lines, rates
+
+
+def grow_fires(
+    ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, n: int = 300, radius: float = 0.5, every: int = 10, markers: bool = True, dt: float = 1.0,
+    least: float = 0.01, strength: float = 0.5, back_share: float = 0.2, length_to_breadth: float = 2.0,
+) -> DataFrame:
     """Stored rings of each fire (``fire_id``, ``x``, ``y``), a row a vertex.
 
-    ``cells``: ``grid_row``, ``grid_col``, ``step``, ``head_ros``, ``back_ros``, ``flank_ros``, ``azimuth``;
-    ``weather``: ``step`` numbers with the greatest head rate of any fuel, ``most_ros``. A fire can't leave the
-    square of the sum of those rates around its ignition; only the cells of that square are
-    joined to it, and each fire is a task of its own.
+    ``cells``: ``grid_row``, ``grid_col``, ``fuel_id``, ``elev``, ``slope_deg``, ``aspect_deg``, ``zero_ros``;
+    ``weather``: ``step``, ``isi``, ``bui``, ``wd``, ``temp``, ``rh``; its last step holds on. The grid of rates by
+    steps is never made: the rates of each fuel at each step, which are few, go to every task, and
+    the rest follows from the cell. A fire can't leave the square of the sum of the greatest rates
+    around its ignition; only that square's cells are joined to it, and each fire is a task.
     """
-    reach = float(weather.where(F.col("step") < steps).agg(F.sum("most_ros")).first()[0] or 0.0) + radius + 2 * grid["size"]
-    span = int(np.ceil(reach / grid["size"])) + 1
-    row, col = F.floor((grid["top"] - F.col("y")) / grid["size"]), F.floor((F.col("x") - grid["left"]) / grid["size"])
+    lines, rates = _timeline(weather, steps)
+    facts = cells.agg(F.max(F.when(~F.isnan("slope_deg"), F.col("slope_deg"))).alias("slope")).first()
+    steepest = 1 + abs(strength) * np.tan(np.radians(min(facts["slope"] or 0.0, 89.0)))
+    held = np.minimum(np.arange(steps), max(len(rates) - 1, 0))
+    reach = float((rates.max(1)[held].sum() if len(rates) else 0.0) * 1.3 * steepest * dt) + radius + 2 * grid["size"]
+    size, left, top = grid["size"], grid["left"], grid["top"]
+    span = int(np.ceil(reach / size)) + 1
+    row, col = F.floor((top - F.col("y")) / size), F.floor((F.col("x") - left) / size)
     block = 2 * span + 1
     placed = ignitions.withColumns({"_row": row.cast("int"), "_col": col.cast("int")})
     # A fire's square touches at most four blocks of its own size, so an equi-join on blocks finds its cells.
-    tiles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(
-        F.floor((F.col("_row") + F.when(k % 2 == 0, -span).otherwise(span)) / block).alias("r"), F.floor((F.col("_col") + F.when(k < 2, -span).otherwise(span)) / block).alias("c"))))
+    tiles = F.array_distinct(F.array(*[
+        F.struct(F.floor((F.col("_row") + i) / block).alias("r"), F.floor((F.col("_col") + j) / block).alias("c")) for i in (-span, span) for j in (-span, span)
+    ]))
     wanted = placed.withColumn("_t", F.explode(tiles)).select("fire_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "_row", "_col", "_t")
-    side = cells.withColumn("_b", F.struct(F.floor(F.col("grid_row") / block).alias("r"), F.floor(F.col("grid_col") / block).alias("c")))
+    number = F.lit(len(ros.FUELS))
+    for i, f in enumerate(ros.FUELS):
+        number = F.when(F.col("_name") == f, i).otherwise(number)
+    ground = cells.withColumn("_name", ros.fuel_name(F.col("fuel_id"))).select("grid_row", "grid_col", number.alias("fuel"), "elev", "slope_deg", "aspect_deg", "zero_ros")
+    side = ground.withColumn("_b", F.struct(F.floor(F.col("grid_row") / block).alias("r"), F.floor(F.col("grid_col") / block).alias("c")))
     near = (F.abs(F.col("grid_row") - F.col("_row")) <= span) & (F.abs(F.col("grid_col") - F.col("_col")) <= span)
     joined = wanted.join(side, (F.col("_t") == F.col("_b")) & near).drop("_t", "_b")
-    size, left, top = grid["size"], grid["left"], grid["top"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.arange(pdf["grid_row"].min(), pdf["grid_row"].max() + 1), np.arange(pdf["grid_col"].min(), pdf["grid_col"].max() + 1)
-        times = np.sort(pdf["step"].unique())
-        at = (np.searchsorted(times, pdf["step"]), pdf["grid_row"] - rows[0], pdf["grid_col"] - cols[0])
-        fields = {}
-        for f in ("head_ros", "back_ros", "flank_ros", "azimuth"):
-            fields[f] = np.zeros((len(times), len(rows), len(cols)))
-            fields[f][at] = pdf[f].fillna(0.0)
+        at = (pdf["grid_row"] - rows[0], pdf["grid_col"] - cols[0])
+        plane = lambda values, empty: (lambda g: (g.__setitem__(at, values), g)[1])(np.full((len(rows), len(cols)), empty))
+        fuel = plane(pdf["fuel"], len(ros.FUELS))
+        elev, slope, aspect = (plane(pdf[c].astype(float), np.nan) for c in ("elev", "slope_deg", "aspect_deg"))
+        open_ = plane(~pdf["zero_ros"].fillna(False).astype(bool), False)
         xs, ys = left + (cols + 0.5) * size, top - (rows + 0.5) * size
-
-        def sample(step, ring):
-            k = min(step, len(times) - 1)
-            head, back, flank = (fronts.bilinear(fields[f][k], xs, ys, ring) for f in ("head_ros", "back_ros", "flank_ros"))
-            return head, back, flank, np.radians(fronts.bilinear(fields["azimuth"][k], xs, ys, ring))
-
-        stored = fronts.grow(fronts.circle(pdf["_x"].iloc[0], pdf["_y"].iloc[0], radius, n), sample, steps, every=every, markers=markers)
+        known: dict[int, np.ndarray] = {}
+
+        def heads(k: int) -> np.ndarray:
+            if k not in known:
+                known.clear()
+                tilt = 1 + strength * np.tan(np.radians(slope)) * np.cos(np.radians(lines["wd"][k] - (aspect + 180)))
+                height = np.clip(1 - 0.002 * (lines["temp"][k] - 0.0065 * elev - 20) + 0.001 * (lines["rh"][k] - 30), 0.7, 1.3)
+                known[k] = np.nan_to_num(np.where(open_, rates[k][fuel], 0) * np.where(np.isnan(tilt), 1, np.maximum(tilt, 0)) * height)
+            return known[k]
+
+        def sample(step: int, ring: np.ndarray):
+            head = fronts.bilinear(heads(held[step]), xs, ys, ring)
+            back = back_share * head
+            return head, back, (head + back) / (2 * length_to_breadth), np.full(len(ring), np.radians((lines["wd"][held[step]] + 180) % 360))
+
+        stored = fronts.grow(fronts.circle(pdf["_x"].iloc[0], pdf["_y"].iloc[0], radius, n), sample, steps if len(rates) else 0, dt, least, every, markers)
         return pd.concat([
-            pd.DataFrame({"fire_id": pdf["fire_id"].iloc[0], "t_min": t, "vertex_id": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]}) for t, ring in stored
+            pd.DataFrame({"fire_id": pdf["fire_id"].iloc[0], "t_min": float(t), "vertex_id": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]}) for t, ring in stored
         ])
 
     return joined.groupBy("fire_id").applyInPandas(one, RINGS)

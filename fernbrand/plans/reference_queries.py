@@ -507,9 +507,8 @@ def front_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = 10
-    weather = grid.fuel_rates(_timeline(spark, steps)).groupBy("step").agg((F.max("head_ros") * 2.0).alias("most_ros"))
-    return fires.grow_fires(load(spark, sf_dir, "ignitions"), _cube(spark, sf_dir, steps), weather, steps, {"left": LEFT, "top": TOP, "size": SIZE}, n=60, every=5)
+    ground = grid.fuel_break(_terrain(spark, sf_dir), _mask(), "zero_ros")
+    return fires.grow_fires(load(spark, sf_dir, "ignitions"), ground, _timeline(spark, 10), 10, {"left": LEFT, "top": TOP, "size": SIZE}, n=60, every=5)
 
 
 @query()

@@ -136,6 +136,20 @@ def test_streams_equal_batch(spark, tmp_path):
     assert len(got) == 12 and np.allclose(got["fwi"], want["fwi"]) and np.allclose(got["dc"], want["dc"])
 
 
+def test_rain_stream(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [("a", datetime(2024, 5, 1, h), 1.0) for h in range(24)] + [("a", datetime(2024, 5, 2, 5), 2.0), ("a", datetime(2024, 5, 3, 5), 0.5)]
+    df = spark.createDataFrame(rows, "station_code string, ts timestamp, precip double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = moisture.rain_by_day(stream).writeStream.format("memory").queryName("rain").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {str(r["obs_date"]): r["precip_24h"] for r in spark.table("rain").collect()}
+    assert got == {"2024-05-01": 24.0, "2024-05-02": 2.0}
+
+
 def test_tables(spark, tmp_path):
     c = grid(spark, np.arange(12.0).reshape(3, 4)).withColumn("elev", F.when(F.col("elev") != 5, F.col("elev")))
     tables.write_ascii_grid(c, "elev", str(tmp_path / "g"), 100.0, 200.0, 10.0)
