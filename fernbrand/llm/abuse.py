@@ -47,29 +47,28 @@ SEEDS = {
     "abusive": (
         "you idiot", "you stupid idiot", "you are an idiot", "you moron", "you pathetic loser", "you scumbag", "you bastard", "you asshole", "you piece of shit",
         "fuck you", "fuck off", "you dumbass", "you cretin", "you imbecile", "go to hell you idiot", "drop dead you bastard", "go kill yourself", "i will kill you bastard",
-        "i hope you die", "hope he dies", "hope she dies alone", "dies screaming", "should be shot", "should be beaten", "what a retard", "you son of a bitch",
-        "du idiot", "du bist ein idiot", "du dummkopf", "verdammter idiot", "du trottel", "du arschloch", "vollpfosten", "halt die fresse", "du blöde kuh", "finger weg du depp",
-        "eres un idiota", "eres un imbécil", "idiota inútil", "eres un inútil", "eres estúpido", "hijo de puta", "cállate imbécil", "eres un cretino",
+        "i hope you die", "hope he dies", "hope she dies alone", "should be shot", "should be beaten", "what a retard", "you son of a bitch",
+        "du idiot", "du bist ein idiot", "du dummkopf", "verdammter idiot", "du trottel", "du arschloch", "vollpfosten", "halt die fresse", "du blöde kuh",
+        "eres un idiota", "eres un imbécil", "eres un inútil", "eres estúpido", "hijo de puta", "cállate imbécil", "eres un cretino",
         "espèce d'idiot", "espèce de crétin", "espèce d'imbécile", "pauvre con", "sale connard", "ferme ta gueule", "tu es un abruti",
         "sei un idiota", "sei un cretino", "pezzo di merda", "stronzo", "você é um idiota", "seu imbecil", "filho da puta", "je bent een idioot", "klootzak",
         "jesteś idiotą", "ty kretynie", "ты идиот", "ты дурак", "тупой дебил", "заткнись",
     ),
     "hateful": (
-        "they are subhuman", "subhuman trash", "those people are filthy vermin", "do not deserve to live", "wipe them all out", "wipe out every last one", "exterminate them all",
+        "they are subhuman", "subhuman trash", "those people are filthy vermin", "do not deserve to live", "wipe them all out", "exterminate them all",
         "go back where they came from", "they smell", "they steal", "they are all thieves", "they are too dumb", "too stupid to code", "women are too dumb to code",
         "refugees are too dumb", "immigrants are criminals", "foreigners steal", "dirty foreigners", "keep those people out of this country",
         "ausländer raus", "untermenschen", "fuera inmigrantes", "muerte a los extranjeros", "sale race", "mort aux étrangers", "fuori gli stranieri",
     ),
     "sexual": (
-        "hardcore porn videos", "free porn videos", "hardcore sex with strangers", "sex with strangers", "free blowjob", "naked pics", "nude pics", "horny sluts", "show me your tits",
+        "hardcore porn videos", "free porn videos", "naked pics", "nude pics", "horny sluts", "show me your tits",
         "rub your tits", "rub your cock", "suck my cock", "lick my pussy", "big tits", "wet pussy", "give her an orgasm", "cum on her face", "fuck her hard", "nackte mädchen",
         "geile schlampe", "fotos desnudas", "puta caliente", "filles nues", "baise moi", "ragazze nude",
     ),
     "none": (
         "breast cancer screening", "naked eye", "naked pointer", "bare metal", "kill the process", "kill the child process", "master and slave replica", "dumb terminal",
-        "sex ratio", "sex column in the census", "ball cock valve", "stopcock", "loser of the match", "idiot light", "garbage collector", "useless use of cat", "this code is stupid",
-        "stupid bug", "ugly hack", "damn bug", "i hate this bug", "dirty flag", "orphan process", "abort the transaction", "execute the next command", "refugees per year in the census",
-        "immigrants by country table", "vermin traps", "bastard file", "moron unit", "nude colour swatch", "scunthorpe", "keep it simple stupid", "this api is a mess", "strip the shell", "blind test",
+        "sex ratio", "sex column in the census", "ball cock valve", "stopcock", "idiot light", "garbage collector", "useless use of cat", "this code is stupid",
+        "stupid bug", "ugly hack", "damn bug", "i hate this bug", "dirty flag", "orphan process", "abort the transaction", "execute the next command", "keep it simple stupid", "this api is a mess", "strip the shell", "blind test",
     ),
 }
 
