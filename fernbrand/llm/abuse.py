@@ -79,9 +79,11 @@ STOP = frozenset(
     "du bist ein eine der die das und von mit zu ist nicht un una el la los las de del que y en es le les des et est tu te il un uno lo gli di da che non o os as um uma e".split()
 )
 STOP_WEIGHT = 0.3
-#: Weight of a word that no example has.
+#: Weight of a word that no example has, in all but very small corpora.
 OTHER_WEIGHT = 3.0
-#: Weight from which a word of a bad example is telling: about one document in twenty holds it.
+#: How much likelier a bad example holds a leaning word than a harmless one does, and the least weight of such a word in any corpus.
+LEANING, FLOOR = 1.3, 3.5
+#: Weight from which any word of a bad example is telling: about one document in twenty holds it.
 TELLING = 3.0
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -208,12 +210,19 @@ class Examples:
         clean = lambda w: len(w) > 1 and w.isalpha() and not _STRETCHED.search(w)
         vocabulary = sorted(w for w in {*bad, *good} if clean(w))
         self.words = Words(vocabulary, {w for w in bad if clean(w) and len(w) > 2 and w not in STOP})
+        n_good = self.kinds.count(HARMLESS)
+        n_bad = len(self.kinds) - n_good
+        leans = lambda w: (bad[w] + 0.5) / (n_bad + 1) >= LEANING * (good[w] + 0.5) / (n_good + 1)
+        #: Words that the examples alone show to be bad, however many documents hold them.
+        self.leaning = np.array([w in self.words.signals and leans(w) for w in vocabulary] + [False])
         self.stop = np.array([STOP_WEIGHT if w in STOP else 1.0 for w in vocabulary] + [1.0])
 
     def weigh(self, held: np.ndarray, documents: int) -> None:
         """Makes the index. ``held``: documents that hold each word of the vocabulary."""
         self.idf = (np.log((documents + 1) / (np.append(held, 0) + 1)) + 0.1) * self.stop
-        self.idf[-1] = OTHER_WEIGHT
+        rare = self.idf >= TELLING
+        self.idf[self.leaning] = np.maximum(self.idf[self.leaning], FLOOR)
+        self.idf[-1] = min(OTHER_WEIGHT, np.log(documents + 1) + 0.1)
         size = len(self.idf)
         rows = np.zeros((len(self.texts), size))
         for i, t in enumerate(self.texts):
@@ -233,7 +242,9 @@ class Examples:
         self.block_max = np.ascontiguousarray((padded.reshape(blocks, BLOCK, size).max(1) * self.idf).T.astype(np.float32) * np.float32(1.0001))
         self.square = (self.idf**2).astype(np.float32)
         #: Words that bad examples have and most documents don't.
-        self.telling = (self.block_max.max(1) > 0) & (self.idf >= TELLING)
+        self.telling = (self.block_max.max(1) > 0) & rare
+        #: Words that lean to the bad examples though many documents hold them: they count beside an example that holds them.
+        self.common = (self.block_max.max(1) > 0) & self.leaning & ~rare
         self._calibrate()
 
     def votes(self, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,12 +309,12 @@ class Examples:
             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
             cosine = x @ self.vectors.T
             share, near = self.votes(cosine)
-            row, column = np.nonzero(self.telling[window])
+            row, column = np.nonzero(self.telling[window] | (self.common[window] & (self.vectors[near[:, None], window] > 0)))
             places.append(at[row] + column)
             shares.append(share[row])
             nearest.append(near[row])
             tops.append(cosine.max(1)[row])
-        if not places:
+        if not sum(map(len, places)):
             return np.zeros(0, int), np.zeros(0), np.zeros(0, int)
         place, share, near, top = (np.concatenate(v) for v in (places, shares, nearest, tops))
         order = np.lexsort((-top, place))

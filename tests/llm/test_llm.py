@@ -147,6 +147,18 @@ def test_abuse_search_is_exact(spark):
     assert telling and all(any(s <= a < s + abuse.WINDOW for a in at) for s in telling)
 
 
+def test_abuse_in_few_documents_and_in_a_third_of_them(spark):
+    rng = random.Random(10)
+    labels = spark.createDataFrame(LABELS, "snippet string, category string")
+    bad = "only a moron like you would nounab a nounac here"
+    for n, copies in ((5, 1), (5, 5), (90, 30), (90, 9)):
+        texts = [f"{text(rng, 30, COMMON)}\n{bad if i < copies else 'returns the nounab'}\n{text(rng, 30, COMMON)}" for i in range(n)]
+        rows = abuse.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), labels).collect()
+        assert {r["doc_id"] for r in rows if r["abuse_score"] >= abuse.CASE} == set(range(copies))
+    plain = spark.createDataFrame([(i, text(rng, 30, COMMON)) for i in range(5)], "doc_id int, text string")
+    assert all(r["abuse_score"] < abuse.CASE for r in abuse.score_documents(plain, labels).collect())
+
+
 def test_rates_and_empty(spark):
     scored = score(spark, ["only a moron like you would do it here", "fine"])
     rate = abuse.source_rates(scored).collect()
