@@ -29,6 +29,8 @@ from fernbrand.sizing import broadcast_if_small
 BUCKETS = 65_536
 #: Rows of the target table that the driver may hold.
 MOST_TARGETS = 100_000
+#: A source that would hold a mix below this part of the size that half its weight reaches doesn't set the size; it is clamped.
+TINY = 0.05
 # Fixed value: how the byte-level vocabulary splits text into pieces, as its publishers give it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,7 +78,7 @@ def water_fill(weights: np.ndarray, caps: np.ndarray, total: float) -> np.ndarra
         share = np.where(open_, weights, 0) / weights[open_].sum() * left
         over = open_ & (share > caps * (1 + 1e-12))
         if not over.any():
-            amount[open_] = np.minimum(share, caps)[open_]
+            amount[open_] = np.where(share > caps * (1 - 1e-12), caps, share)[open_]
             break
         amount[over] = caps[over]
         left -= caps[over].sum()
@@ -85,16 +87,33 @@ def water_fill(weights: np.ndarray, caps: np.ndarray, total: float) -> np.ndarra
 
 
 def largest_exact_total(weights: np.ndarray, caps: np.ndarray) -> float:
-    """The greatest total at which every source can have exactly its share."""
-    wanted = weights > 0
-    return float((caps[wanted] / weights[wanted]).min()) if wanted.any() else 0.0
+    """The greatest total at which every source with a cap can have exactly its share of what these get."""
+    wanted = (weights > 0) & (caps > 0)
+    return float((caps[wanted] / weights[wanted]).min() * weights[wanted].sum()) if wanted.any() else 0.0
+
+
+def default_total(weights: np.ndarray, caps: np.ndarray) -> float:
+    """The greatest exact total, where sources that have next to nothing (``TINY``) don't count.
+
+    ``water_fill`` clamps those at their caps and gives what they lack to the others; the total
+    is such that none of the others is over its cap then.
+    """
+    wanted = (weights > 0) & (caps > 0)
+    if not wanted.any():
+        return 0.0
+    weight, cap = weights[wanted], caps[wanted]
+    reach = cap / weight
+    order = np.argsort(reach)
+    half = reach[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2 * (1 + 1e-12), "right").clip(max=len(order) - 1)]
+    tiny = reach < TINY * half
+    return largest_exact_total(weight[~tiny], cap[~tiny]) + float(cap[tiny].sum())
 
 
 def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> list[dict]:
     """A row a mix and source: what it has, its target, and how much is taken.
 
     ``total_tokens``: size of every mix; by default each mix is as large as its targets can be
-    met exactly. Only totals a source named in ``targets`` reach the driver.
+    met exactly by the sources that aren't empty or tiny (``default_total``). Only totals a source named in ``targets`` reach the driver.
     """
     rows = [r.asDict() for r in targets.select("mix_name", "source", "target_share", "max_repeats").distinct().limit(MOST_TARGETS + 1).collect()]
     if len(rows) > MOST_TARGETS:
@@ -108,7 +127,7 @@ def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | None
         part = sorted((r for r in rows if r["mix_name"] == mix), key=lambda r: r["source"])
         weights = np.array([max(r["target_share"] or 0.0, 0.0) for r in part])
         caps = np.array([float(have.get(r["source"], 0)) * max(r["max_repeats"] or 0, 0) for r in part])
-        amounts = water_fill(weights, caps, largest_exact_total(weights, caps) if total_tokens is None else total_tokens)
+        amounts = water_fill(weights, caps, default_total(weights, caps) if total_tokens is None else total_tokens)
         for r, amount in zip(part, amounts):
             n = have.get(r["source"], 0)
             whole = min(int(amount // n), r["max_repeats"] or 0) if n else 0
@@ -153,8 +172,9 @@ def make_mixes(
 
     ``documents``: ``doc_id`` (unique), ``source``, ``text``; ``targets``: ``mix_name``,
     ``source``, ``target_share``, ``max_repeats``. Targets with a null mix or source count as not
-    given, null shares and repeats as 0; sources without documents or without a target are in no
-    mix, documents with a null source neither. Empty tables give no rows. Each text is tokenized
+    given, null shares and repeats as 0. A targeted source without tokens or repeats has the
+    actual share 0, and its weight goes to the others of its mix; so does what a tiny one lacks.
+    Sources without a target are in no mix, documents with a null source neither. Empty tables give no rows. Each text is tokenized
     once; only ids, sources and sizes are kept.
     """
     counts = cut(token_counts(documents, tokenizer))

@@ -93,6 +93,19 @@ def test_mix(spark, monkeypatch):
     assert mixing.make_mixes(df.limit(0), goal)[0].collect() == [] and mixing.make_mixes(df, goal.limit(0))[1].collect() == []
 
 
+def test_mix_of_absent_and_tiny_sources(spark):
+    rng = random.Random(7)
+    docs = [(i, s, text(rng, 20)) for i, s in enumerate(["big"] * 400 + ["mid"] * 200 + ["one"])]
+    targets = [("a", "big", 0.5, 1), ("a", "mid", 0.3, 2), ("a", "absent", 0.1, 4), ("a", "never", 0.1, None), ("b", "big", 0.5, 1), ("b", "mid", 0.25, 2), ("b", "one", 0.25, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    report = mixing.make_mixes(df, spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int"))[1]
+    share = {(r["mix_name"], r["source"]): r for r in report.collect()}
+    assert share["a", "absent"]["actual_share"] == share["a", "never"]["actual_share"] == 0
+    assert share["a", "big"]["tokens"] == share["a", "big"]["available_tokens"] and abs(share["a", "big"]["actual_share"] - 5 / 8) < 0.01
+    assert share["b", "one"]["tokens"] == 3 * share["b", "one"]["available_tokens"] > 0
+    assert share["b", "big"]["tokens"] == share["b", "big"]["available_tokens"] and abs(share["b", "mid"]["actual_share"] - 1 / 3) < 0.01
+
+
 # --- abuse ------------------------------------------------------------------------------------
 
 
