@@ -42,12 +42,18 @@ def _reconstructed(x: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def impute(values: np.ndarray, window: int = 24, rank: int = 4, steps: int = 10, tolerance: float = 0.01) -> np.ndarray:
-    """Series (rows) with NaN replaced; known values stay.
+def impute(values: np.ndarray, window: int = 24, rank: int = 4, steps: int = 500, tolerance: float = 0.01) -> np.ndarray:
+    """Series (rows) with NaN replaced, as ``impute_marked`` gives them."""
+    return impute_marked(values, window, rank, steps, tolerance)[0]
+
+
+def impute_marked(values: np.ndarray, window: int = 24, rank: int = 4, steps: int = 500, tolerance: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Series (rows) with NaN replaced, and whether each series settled; known values stay.
 
     Missing values start at the mean of their phase (position modulo ``window``), then are
     replaced by the reconstruction from the ``rank`` leading singular vectors until no value
-    moves by more than ``tolerance`` standard deviations, or for ``steps`` steps. Series without
+    moves by more than ``tolerance`` standard deviations; what still moves after ``steps`` steps
+    hasn't settled. Series without
     any value stay NaN; series shorter than twice the window get their mean.
     """
     known = ~np.isnan(values)
@@ -59,12 +65,13 @@ def impute(values: np.ndarray, window: int = 24, rank: int = 4, steps: int = 10,
     x = centred / scale
     n, length = x.shape
     todo = np.flatnonzero((count > 0) & (count < length) & (spread > 0)) if length >= 2 * window else np.array([], int)
+    settled = np.ones(n, bool)
     if len(todo):
-        x[todo] = _iterate(x[todo], known[todo], window, min(rank, window), steps, tolerance)
-    return np.where(known, values, x * scale + mean[:, None])
+        x[todo], settled[todo] = _iterate(x[todo], known[todo], window, min(rank, window), steps, tolerance)
+    return np.where(known, values, x * scale + mean[:, None]), settled
 
 
-def _iterate(x: np.ndarray, known: np.ndarray, window: int, rank: int, steps: int, tolerance: float) -> np.ndarray:
+def _iterate(x: np.ndarray, known: np.ndarray, window: int, rank: int, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     phase = np.arange(x.shape[1]) % window
     for p in range(window):
         at = phase == p
@@ -79,4 +86,6 @@ def _iterate(x: np.ndarray, known: np.ndarray, window: int, rank: int, steps: in
         moving = moving[np.abs(new - now).max(1) > tolerance]
         if not len(moving):
             break
-    return x
+    settled = np.ones(len(x), bool)
+    settled[moving] = False
+    return x, settled

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernbrand.functions.ssa import impute
+from fernbrand.functions.ssa import impute_marked
 from fernbrand.session import cut
 from fernbrand.sizing import broadcast_if_small
 
@@ -40,13 +40,14 @@ def _filled(batches, names: list[str], values: list[str], block: int, margin: in
             for i, v in enumerate(values):
                 grid[i, owner, place] = flat.field(v).to_numpy(zero_copy_only=False)
             held = ~np.isnan(grid[0])
-            full = impute(grid.reshape(-1, width), window, rank).reshape(grid.shape)
+            full, settled = impute_marked(grid.reshape(-1, width), window, rank)
+            full, settled = full.reshape(grid.shape), settled.reshape(len(values), -1).all(0)
             period = start[:, None] + np.arange(width)
             inside = (period >= np.maximum(start + margin, number("_first")[rows])[:, None]) & (period <= np.minimum(start + margin + block - 1, number("_last")[rows])[:, None])
             r, c = np.nonzero(inside)
             out = [column(n).take(pa.array(rows[r])) for n in names] + [pa.array(period[r, c])]
-            out += [pa.array(full[i][r, c], mask=np.isnan(full[i][r, c])) for i in range(len(values))] + [pa.array(~held[r, c])]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "period", *values, "is_filled"])
+            out += [pa.array(full[i][r, c], mask=np.isnan(full[i][r, c])) for i in range(len(values))] + [pa.array(~held[r, c]), pa.array(held[r, c] | settled[r])]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "period", *values, "is_filled", "is_settled"])
 
 
 def regular_series(
@@ -57,7 +58,8 @@ def regular_series(
 
     A reading is a row with an instant and all ``values``; rows of one key with equal instants
     count once (greatest values). Columns: keys, ``period`` (number of ``step`` seconds since
-    1970), the values (means of the period's readings, else imputed) and ``is_filled``. A filled
+    1970), the values (means of the period's readings, else imputed), ``is_filled`` and ``is_settled`` (false for
+    values filled by an imputation that hadn't converged at its limit of steps). A filled
     value is null only if its block and margins hold no reading at all. Null keys form a key; an
     empty table, or one without readings, gives no rows.
     """
@@ -82,5 +84,5 @@ def regular_series(
         condition = condition & m
     joined = wanted.join(blocks, condition, "left").select(*[wanted[k] for k in keys], wanted["_block"], "_first", "_last", "_cells")
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "period bigint", *[f"`{v}` double" for v in values], "is_filled boolean"])
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "period bigint", *[f"`{v}` double" for v in values], "is_filled boolean, is_settled boolean"])
     return joined.mapInArrow(lambda batches: _filled(batches, keys, values, block, margin, window, rank), schema)

@@ -48,10 +48,21 @@ def _readings(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
     return units.with_milli(timed, fields, "feed_id", "unit_note", remarks)
 
 
+HOURLY = ["temperature_milli", "wind_speed_milli"]
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = regular.regular_series(_readings(spark, sf_dir, ["temperature", "wind_speed"]), LOGGER, "utc_second", HOURLY)
+    return series.withColumn("utc_hour_start", F.col("period") * 3600)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ["temperature_milli", "wind_speed_milli"]
-    series = regular.regular_series(_readings(spark, sf_dir, ["temperature", "wind_speed"]), LOGGER, "utc_second", values)
-    return series.where("is_filled").select(*LOGGER, (F.col("period") * 3600).alias("utc_hour_start"))
+    return _hourly(spark, sf_dir).where("is_filled").select(*LOGGER, "utc_hour_start")
+
+
+def p3_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly series of each logger, with its filled hours."""
+    return _hourly(spark, sf_dir).select(*LOGGER, "utc_hour_start", *HOURLY, "is_filled", "is_settled")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +118,7 @@ def p7_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
+    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
     "p7_percentiles": p7_percentiles, "p7_combined": p7_combined,
 }
 

@@ -101,6 +101,20 @@ def test_imputation_restores_a_cycle():
     assert (full[0][~np.isnan(holed)] == true[~np.isnan(holed)]).all()
 
 
+def test_imputation_settles_as_used():
+    rng = np.random.default_rng(5)
+    noise = np.zeros((6, 608))
+    for i in range(1, 608):
+        noise[:, i] = 0.9 * noise[:, i - 1] + rng.normal(size=6)
+    x = 3 * np.sin(np.arange(608) * 2 * np.pi / 24) + noise
+    for row, size in zip(x, (24, 48, 96, 144, 192, 240)):
+        row[200 : 200 + size] = np.nan
+    full, settled = ssa.impute_marked(x)
+    again = ssa.impute(x, steps=501)
+    assert settled.all() and np.array_equal(full, again)
+    assert not ssa.impute_marked(x, steps=10)[1].all()
+
+
 def test_gram_is_that_of_the_trajectory_matrix():
     x = np.random.default_rng(1).normal(size=(2, 60))
     hankel = np.stack([np.lib.stride_tricks.sliding_window_view(r, 7) for r in x])
