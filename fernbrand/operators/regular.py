@@ -40,7 +40,9 @@ def _filled(batches, names: list[str], values: list[str], block: int, margin: in
             for i, v in enumerate(values):
                 grid[i, owner, place] = flat.field(v).to_numpy(zero_copy_only=False)
             held = ~np.isnan(grid[0])
-            full, settled = impute_marked(grid.reshape(-1, width), window, rank)
+            low, high = np.clip(number("_first")[rows] - start, 0, width), np.clip(number("_last")[rows] - start + 1, 0, width)
+            both = {"low": np.tile(low, len(values)), "high": np.tile(high, len(values))}
+            full, settled = impute_marked(grid.reshape(-1, width), window, rank, **both)
             full, settled = full.reshape(grid.shape), settled.reshape(len(values), -1).all(0)
             period = start[:, None] + np.arange(width)
             inside = (period >= np.maximum(start + margin, number("_first")[rows])[:, None]) & (period <= np.minimum(start + margin + block - 1, number("_last")[rows])[:, None])
