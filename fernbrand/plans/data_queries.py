@@ -80,10 +80,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("ignition_id_a"), F.col("id_b").alias("ignition_id_b"))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = list(spikes.LIMITS)
-    record = times.record_times(_read(spark, sf_dir, "weather_record", "record_id", "station_code", "obs_datetime", *fields), _read(spark, sf_dir, "station"))
-    return spikes.flag_rows(record, "record_id", "station_code", "utc_second", fields).select(F.col("id").alias("record_id"), "field_name").distinct()
+    return times.record_times(_read(spark, sf_dir, "weather_record", "record_id", "station_code", "obs_datetime", *fields), _read(spark, sf_dir, "station"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = spikes.flag_rows(_records(spark, sf_dir), "record_id", "station_code", "utc_second", list(spikes.LIMITS))
+    return flags.select(F.col("id").alias("record_id"), "field_name").distinct()
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading with the score of its station's forest, beside the rules' flags."""
+    scored = spikes.score_readings(_records(spark, sf_dir), "station_code", "utc_second", list(spikes.LIMITS))
+    return scored.select(F.col("source").alias("station_code"), "field_name", F.col("second").alias("utc_second"), F.round("score", 6).alias("score"), "impossible", "in_jump", "in_run")
 
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -119,6 +129,7 @@ def p7_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
+    "p6_scores": p6_scores,
     "p7_percentiles": p7_percentiles, "p7_combined": p7_combined,
 }
 

@@ -242,6 +242,8 @@ def test_flags_against_brute_force(spark):
             flagged = brute_flags(series, f, np.median(steps) if steps else None, np.median(positive) if positive else None)
             want |= {(r[0], f) for r in rows if r[1] == s and r[2] in flagged and r[k] is not None}
     assert got == want
+    again = {(r["id"], r["field_name"]) for r in spikes.flag_rows(df, "id", "station", "t", ["temperature", "precipitation"], whole=50, block=64).collect()}
+    assert again == want
     scored = spikes.score_readings(df, "station", "t", ["temperature"]).collect()
     assert all(0 <= r["score"] <= 1 for r in scored) and len(scored) == len({(r[1], r[2]) for r in rows if r[2] is not None and r[3] is not None})
     assert spikes.flag_rows(df.limit(0), "id", "station", "t", ["temperature"]).collect() == []
@@ -251,9 +253,32 @@ def test_forest_isolates_the_odd():
     rng = np.random.default_rng(0)
     normal = rng.normal(size=(1, 256, 3))
     rows = np.concatenate([normal[0, :50], [[9.0, 9.0, 9.0]]])
-    score = forest.scores(normal, np.array([256]), rows, np.zeros(51, int))
+    one = [g[0] for g in forest.grow(normal, np.array([256]), [3])]
+    score = forest.scores(*one, rows.T)
     assert score[-1] > 0.65 and score[-1] > score[:-1].max() and np.median(score[:-1]) < 0.55
-    assert (forest.scores(np.zeros((1, 1, 2)), np.array([1]), np.zeros((3, 2)), np.zeros(3, int)) == 0.5).all()
+    other = np.concatenate([normal, rng.normal(size=(1, 256, 3))])
+    beside = [g[0] for g in forest.grow(other, np.array([256, 90]), [3, 8])]
+    assert np.array_equal(forest.scores(*beside, rows.T), score)
+    lone = [g[0] for g in forest.grow(np.zeros((1, 1, 2)), np.array([1]), [0])]
+    assert (forest.scores(*lone, np.zeros((2, 3))) == 0.5).all()
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    rows = [(s, h * 1800, round(10 + 5 * math.sin(h / 8) + rng.gauss(0, 1), 1) + (40 if rng.random() < 0.01 else 0)) for s, n in (("a", 4000), ("b", 700), ("c", 3), ("d", 1), ("e", 900)) for h in range(n)]
+    df = spark.createDataFrame(rows, "station string, t long, temperature double").repartition(5)
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions, block, whole in ((1, 8192, 400_000), (7, 8192, 400_000), (7, 100, 500), (64, 8192, 400_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            results.append({(r["source"], r["second"]): (r["score"], r["in_jump"], r["in_run"]) for r in spikes.score_readings(df, "station", "t", ["temperature"], block, whole).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(results[0]) == len(rows) and all(r == results[0] for r in results)
+    odd = [v[0] for (s, t), v in results[0].items() if s == "a" and v[1]]
+    assert len(odd) > 20 and np.mean(odd) > np.mean([v[0] for (s, _), v in results[0].items() if s == "a"]) + 0.1
 
 
 # --- percentiles ------------------------------------------------------------------------------
