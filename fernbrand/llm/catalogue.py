@@ -19,6 +19,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_item"))
 
 
+def p8_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_sides(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_item"))
+
+
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf_dir))
 
@@ -48,16 +52,21 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+    return {"p8_found": p8_found, "p8_sides": p8_sides, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 _TEXT = "regexp_replace(coalesce({}, ''), '[^A-Za-z0-9]+', ' ', 'g')"
 _RUNS = """select {id}, list_slice(w, i, i + 19) r from (
     select {id}, w, unnest(range(1, len(w) - 18)) i from (select {id}, string_split(lower(trim({text})), ' ') w from {table}))"""
+_SIDES = " union all ".join(f"select distinct item_id, '{side}' side, r from ({_RUNS.format(id='item_id', text=_TEXT.format(side), table='eval_item')})" for side in ("prompt", "answer"))
 _ITEMS = " union ".join(f"select item_id, r from ({_RUNS.format(id='item_id', text=_TEXT.format(side), table='eval_item')})" for side in ("prompt", "answer"))
 _LEAKS = f"""with items as ({_ITEMS}), docs as ({_RUNS.format(id='doc_id', text=_TEXT.format('text'), table='documents')})
     select distinct doc_id, item_id from docs join items using (r)"""
 
 
+_SIDE_LEAKS = f"""with items as ({_SIDES}), docs as ({_RUNS.format(id='doc_id', text=_TEXT.format('text'), table='documents')})
+    select distinct doc_id, item_id, side from docs join items using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": _LEAKS, "p8_items": f"select item_id, count(distinct doc_id) n_documents from ({_LEAKS}) group by item_id"}
+    return {"p8_found": _LEAKS, "p8_sides": _SIDE_LEAKS, "p8_items": f"select item_id, count(distinct doc_id) n_documents from ({_LEAKS}) group by item_id"}

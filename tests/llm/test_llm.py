@@ -50,9 +50,30 @@ def test_leaks_against_brute_force(spark):
     it = spark.createDataFrame(items, "item_id long, prompt string, answer string")
     rows = [tuple(r) for r in leaks.find_leaks(df, it).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute_leaks(docs, [i for i in items if i[0] is not None])
+    sides = {tuple(r) for r in leaks.find_sides(df, it, chars=2_000).collect()}
+    assert {s[:2] for s in sides} == set(rows)
+    for k, side in enumerate(leaks.SIDES):
+        assert {s[:2] for s in sides if s[2] == side} == brute_leaks(docs, [(i[0], i[1 + k]) for i in items if i[0] is not None])
     assert leaks.find_leaks(df.limit(0), it).collect() == [] and leaks.find_leaks(df, it.limit(0)).collect() == []
 
 
+def test_index_of_many_items():
+    import pickle
+
+    rng = np.random.default_rng(3)
+    common, rare = np.array([f"w{i}" for i in range(300)]), np.array([f"r{i}" for i in range(40_000)])
+    n = 2_000_000
+    pool = np.where(rng.random(n) < 0.6, rng.choice(common, n), rng.choice(rare, n)).tolist()
+    items = [(i, " ".join(pool[i * 90 : i * 90 + 60]), " ".join(pool[i * 90 + 60 : i * 90 + 90])) for i in range(20_000)]
+    index = leaks.Index(items)
+    # Sparse: some 3 KB an item, where a dense table would hold terms times sides.
+    assert len(pickle.dumps(index)) < 20_000 * 4_000
+    text = " ".join(pool[-900:-400] + pool[777 * 90 + 10 : 777 * 90 + 31] + pool[-300:] + pool[9 * 90 : 9 * 90 + 19] + pool[-400:-300] + pool[15_000 * 90 + 65 : 15_000 * 90 + 85])
+    codes = index.codes(text)
+    start, side = index.verified(codes, *index.search(codes))
+    assert {(int(index.items[s]), int(index.kinds[s])) for s in side} == {(777, 0), (15_000, 1)} and set(start.tolist()) == {500, 501, 940}
+
+
 def test_words():
     assert leaks.words("A-b_C9éd K İ") == [b"a", b"b", b"c9", b"d", b"i"] and leaks.words(None) == []
 
