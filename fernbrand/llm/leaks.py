@@ -5,10 +5,12 @@ passage of the corpus is put to as a query. Weights are scaled by each side's ow
 least score of any of its runs of ``RUN`` words. A passage that holds such a run therefore scores
 at least 1 for that side, and retrieving all sides that score 1 or more loses no leak.
 
-Block-max WAND prunes, for many passages at a time: passages whose words' greatest weights don't
-add up to 1 are skipped; in the others only the words that the rest can do without (the heavy
-ones, one of which any side that scores 1 must hold) bring in blocks of sides; only blocks whose
-greatest weights add up to 1 are scored side by side. Retrieved pairs are verified word by word.
+Block-max WAND prunes, for many passages at a time: passages without ``RUN`` successive words of
+the index, or whose words' greatest weights don't add up to 1, are skipped; in the others only the
+heavy words, one of which any side that scores 1 must hold, bring in blocks of sides; only
+blocks whose greatest weights, with all that the light words could add, reach 1 are bounded by all
+words, and only those that still reach it are scored side by side. Retrieved pairs are verified
+word by word.
 
 All lists are sparse, so an index grows with the words of its items. Items go to the tasks in
 indexes of bounded size, one after another; the corpus is read once for each and never shuffled
@@ -150,7 +152,11 @@ class Index:
                 strides = self.most[here].reshape(-1, STRIDE).sum(1)
                 last = len(strides) - reach + 1
                 bound = sum(strides[k : k + last] for k in range(1, reach)) + strides[:last]
-                starts = np.flatnonzero(bound >= 1) * STRIDE
+                # A word that no item has ends any run.
+                known = np.concatenate([[0], np.cumsum(here < len(self.terms))])
+                whole = np.concatenate([known[self.run :] - known[: -self.run] == self.run, np.zeros(self.run, bool)])
+                able = whole[: last * STRIDE].reshape(last, STRIDE).any(1)
+                starts = np.flatnonzero((bound >= 1) & able) * STRIDE
                 for part in range(0, len(starts), 2_000):
                     first = starts[part : part + 2_000]
                     row, side = self._scored(here[first[:, None] + np.arange(reach * STRIDE)])
@@ -162,22 +168,26 @@ class Index:
         """Rows and sides that score at least 1 of passages (a row of terms each)."""
         most = self.most[passages]
         order = np.argsort(most, axis=1)
-        light = np.cumsum(np.take_along_axis(most, order, 1), axis=1) < 1
+        upto = np.cumsum(np.take_along_axis(most, order, 1), axis=1)
+        light = upto < 1
+        rest = np.where(light, upto, 0).max(1)
         heavy = np.zeros(passages.shape, bool)
         np.put_along_axis(heavy, order, ~light, 1)
         row, column = np.nonzero(heavy & (most > 0))
         term = passages[row, column]
         rows, sides = [np.zeros(0, int)], [np.zeros(0, int)]
-        upto = np.cumsum(self.by_block.begin[term + 1] - self.by_block.begin[term])
-        splits = np.searchsorted(upto, np.arange(PAIRS, upto[-1] + PAIRS, PAIRS), "right") if len(upto) else []
-        begin = 0
-        for end in [*splits, len(term)]:
-            end = max(int(end), min(begin + 1, len(term)))
-            if end <= begin:
-                continue
-            owner, place = _spread(self.by_block.begin[term[begin:end]], self.by_block.begin[term[begin:end] + 1])
-            pair = np.unique(row[begin:end][owner].astype(np.int64) * self.by_block.width + self.by_block.keys[place] % self.by_block.width)
-            r, block = pair // self.by_block.width, pair % self.by_block.width
+        begins = self.by_block.begin
+        total = np.cumsum(begins[term + 1] - begins[term])
+        # Whole passages at a time, of about PAIRS entries of lists.
+        edges = np.unique(row[np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS), "right")]) if len(total) else []
+        splits = [0, *np.searchsorted(row, edges), len(row)]
+        for begin, end in zip(splits[:-1], splits[1:]):
+            owner, place = _spread(begins[term[begin:end]], begins[term[begin:end] + 1])
+            pair, at = np.unique(row[begin:end][owner].astype(np.int64) * self.by_block.width + self.by_block.keys[place] % self.by_block.width, return_inverse=True)
+            bound = np.bincount(at, self.by_block.weights[place], len(pair))
+            r = pair // self.by_block.width
+            near = bound + rest[r] >= 1 - 1e-6
+            r, block = r[near], pair[near] % self.by_block.width
             enough = self.by_block.at(passages[r], block[:, None]).sum(1) >= 1
             r, block = r[enough], block[enough]
             for k in range(BLOCK):
@@ -186,7 +196,6 @@ class Index:
                 score = self.by_side.at(passages[r[real]], s[real][:, None]).sum(1)
                 rows.append(r[real][score >= 1])
                 sides.append(s[real][score >= 1])
-            begin = end
         row, side = np.concatenate(rows), np.concatenate(sides)
         pair = np.unique(row.astype(np.int64) * len(self.items) + side)
         return pair // len(self.items), pair % len(self.items)
