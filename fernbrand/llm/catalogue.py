@@ -27,8 +27,12 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(p8_found(spark, sf_dir))
 
 
-def _mixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.make_mixes(_read(spark, sf_dir, "documents", "doc_id", "source", "text"), _read(spark, sf_dir, "mix_target"))
+def _mixes(spark: SparkSession, sf_dir: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixing.make_mixes(_read(spark, sf_dir, "documents", "doc_id", "source", "text"), _read(spark, sf_dir, "mix_target"), total)
+
+
+def _by_chars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.make_mixes(_read(spark, sf_dir, "documents", "doc_id", "source", "n_chars"), _read(spark, sf_dir, "mix_target"), mixing.ALL, size_col="n_chars")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixes(spark, sf_dir)[1]
 
 
+def p9_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of mixes as large as their sources, where small sources are clamped and others get what they lack."""
+    return _mixes(spark, sf_dir, mixing.ALL)[1]
+
+
+def p9_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clamped mixes by characters, which SQL can count."""
+    return _by_chars(spark, sf_dir)[0].withColumnRenamed("n_tokens", "n_chars")
+
+
+def p9_chars_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = _by_chars(spark, sf_dir)[1]
+    return shares.select("mix_name", "source", F.round("actual_share", 9).alias("actual_share"), F.col("tokens").alias("chars"), "documents", "most_copies")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.score_documents(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), _read(spark, sf_dir, "abuse_label", "snippet", "category"), ["source"])
 
@@ -52,7 +71,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_found": p8_found, "p8_sides": p8_sides, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+    return {"p8_found": p8_found, "p8_sides": p8_sides, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_clamped": p9_clamped, "p9_chars": p9_chars, "p9_chars_shares": p9_chars_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 
 _TEXT = "regexp_replace(coalesce({}, ''), '[^A-Za-z0-9]+', ' ', 'g')"
@@ -68,5 +87,24 @@ _SIDE_LEAKS = f"""with items as ({_SIDES}), docs as ({_RUNS.format(id='doc_id',
     select distinct doc_id, item_id, side from docs join items using (r)"""
 
 
+# Water-filling in closed form: sources in the order of cap over weight; the level at which the rest can hold the rest of the total.
+_CHARS = """with h as (select source, sum(greatest(coalesce(n_chars, 0), 0)) n from documents where source is not null group by 1),
+    t as (select distinct mix_name, source, greatest(coalesce(target_share, 0), 0) w, greatest(coalesce(max_repeats, 0), 0) m from mix_target where mix_name is not null and source is not null),
+    c as (select t.*, coalesce(n, 0)::double n, coalesce(n, 0)::double * m cap from t left join h using (source)),
+    s as (select *, sum(n) filter (where w > 0) over (partition by mix_name) total, row_number() over (partition by mix_name, w > 0 order by case when w > 0 then cap / w end, source) i from c),
+    k as (select *, sum(cap) over a - cap below, sum(w) over a - w lighter, sum(w) over (partition by mix_name, w > 0) weight from s window a as (partition by mix_name, w > 0 order by i)),
+    l as (select mix_name, arg_min((total - below) / (weight - lighter), i) filter (where (total - below) / (weight - lighter) * w <= cap) level from k where w > 0 group by 1),
+    a as (select k.*, case when w = 0 then 0 when level is null then cap else least(cap, level * w) end amount from k left join l using (mix_name)),
+    p as (select mix_name, source, m, least(case when n > 0 then floor(amount / n) else 0 end, m)::int whole, n, amount from a),
+    q as (select mix_name, source, whole, case when whole < m then amount - whole * n else 0 end rest from p),
+    d as (select doc_id, source, greatest(coalesce(n_chars, 0), 0)::bigint n_chars, ('0x' || substr(md5('0:' || doc_id), 1, 15))::bigint o from documents),
+    o as (select d.*, sum(n_chars) over (partition by source order by o, doc_id)::double upto from d),
+    x as (select mix_name, doc_id, source, n_chars, whole + case when rest > 0 and (upto <= rest or (upto - n_chars <= rest and upto - rest < rest - upto + n_chars)) then 1 else 0 end copies from o join q using (source))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": _LEAKS, "p8_sides": _SIDE_LEAKS, "p8_items": f"select item_id, count(distinct doc_id) n_documents from ({_LEAKS}) group by item_id"}
+    return {
+        "p9_chars": f"{_CHARS} select mix_name, doc_id, source, n_chars, copies from x where copies > 0",
+        "p9_chars_shares": f"""{_CHARS}, g as (select mix_name, source, sum(n_chars * copies)::bigint chars, count(*) documents, max(copies) most_copies from x where copies > 0 group by 1, 2)
+            select mix_name, source, round(coalesce(chars, 0) / sum(coalesce(chars, 0)) over (partition by mix_name), 9) actual_share, coalesce(chars, 0)::bigint chars, coalesce(documents, 0) documents, coalesce(most_copies, 0) most_copies from t left join g using (mix_name, source)""",
+        "p8_found": _LEAKS, "p8_sides": _SIDE_LEAKS, "p8_items": f"select item_id, count(distinct doc_id) n_documents from ({_LEAKS}) group by item_id"}

@@ -19,14 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernbrand.session import cut
 from fernbrand.sizing import broadcast_if_small
 
-#: Hash buckets that find the cut.
-BUCKETS = 65_536
+#: Leading bits of the hash that make the buckets that find the cut.
+BUCKET_BITS = 16
 #: Rows of the target table that the driver may hold.
 MOST_TARGETS = 100_000
 #: A source that would hold a mix below this part of the size that half its weight reaches doesn't set the size; it is clamped.
@@ -60,6 +60,12 @@ def _counted(batches, path: str):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
 
+def sizes_given(documents: DataFrame, size_col: str) -> DataFrame:
+    """``doc_id``, ``source``, ``n_tokens`` from a column of sizes; null and negative ones are 0."""
+    size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("n_tokens"))
+
+
 def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens`` of each row; null and empty texts have 0."""
     path = tokenizer or default_tokenizer()
@@ -109,7 +115,7 @@ def default_total(weights: np.ndarray, caps: np.ndarray) -> float:
     return largest_exact_total(weight[~tiny], cap[~tiny]) + float(cap[tiny].sum())
 
 
-def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> list[dict]:
+def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | str | None = None) -> list[dict]:
     """A row a mix and source: what it has, its target, and how much is taken.
 
     ``total_tokens``: size of every mix; by default each mix is as large as its targets can be
@@ -127,7 +133,11 @@ def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | None
         part = sorted((r for r in rows if r["mix_name"] == mix), key=lambda r: r["source"])
         weights = np.array([max(r["target_share"] or 0.0, 0.0) for r in part])
         caps = np.array([float(have.get(r["source"], 0)) * max(r["max_repeats"] or 0, 0) for r in part])
-        amounts = water_fill(weights, caps, default_total(weights, caps) if total_tokens is None else total_tokens)
+        if total_tokens == ALL:
+            total = float(sum(have.get(r["source"], 0) for r in part if (r["target_share"] or 0.0) > 0))
+        else:
+            total = default_total(weights, caps) if total_tokens is None else total_tokens
+        amounts = water_fill(weights, caps, total)
         for r, amount in zip(part, amounts):
             n = have.get(r["source"], 0)
             whole = min(int(amount // n), r["max_repeats"] or 0) if n else 0
@@ -138,16 +148,23 @@ def plan_mixes(counts: DataFrame, targets: DataFrame, total_tokens: float | None
 PLAN = "mix_name string, source string, target_share double, max_repeats int, available_tokens bigint, planned_tokens double, whole int, rest double"
 
 
+def order_key(seed: int, doc_id: Column) -> Column:
+    """The first 60 bits of the MD5 of ``seed:doc_id``."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def sample_mix(counts: DataFrame, plan: list[dict], seed: int = 0) -> DataFrame:
     """``mix_name``, ``doc_id``, ``source``, ``n_tokens``, ``copies`` (over 0) of every document in a mix.
 
     The part beyond whole repetitions takes documents in the order of a seeded hash as long as
-    they fit; the first that doesn't fit ends it, so it falls short by less than one document.
+    they fit; the one that reaches over the end is taken if that comes nearer to it, so the part
+    is off by at most half a document. The hash is a public one (``order_key``), so that any
+    engine can take the same sample.
     """
     spark = counts.sparkSession
     order = [f.split()[0] for f in PLAN.split(", ")]
     plans = F.broadcast(spark.createDataFrame([tuple(r[k] for k in order) for r in plan], PLAN).select("mix_name", "source", "whole", "rest"))
-    keyed = counts.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
+    keyed = counts.withColumn("_hash", order_key(seed, F.col("doc_id"))).withColumn("_bucket", F.shiftright("_hash", 60 - BUCKET_BITS).cast("int"))
     sums = keyed.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -156,7 +173,8 @@ def sample_mix(counts: DataFrame, plan: list[dict], seed: int = 0) -> DataFrame:
     rows = keyed.join(plans, "source").join(cuts, ["mix_name", "source"], "left")
     within = rows.where(F.col("_bucket") == F.col("_cut"))
     upto = Window.partitionBy("mix_name", "source").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = F.col("_before") + F.sum("n_tokens").over(upto) <= F.col("rest")
+    after = F.col("_before") + F.sum("n_tokens").over(upto)
+    fits = (after <= F.col("rest")) | ((after - F.col("n_tokens") <= F.col("rest")) & (after - F.col("rest") < F.col("rest") - after + F.col("n_tokens")))
     columns = ["mix_name", "doc_id", "source", "n_tokens"]
     edge = within.select(*columns, (F.col("whole") + F.when(fits, 1).otherwise(0)).alias("copies"))
     # Without a cut the whole source fits into the rest, or nothing is wanted of it.
@@ -165,11 +183,19 @@ def sample_mix(counts: DataFrame, plan: list[dict], seed: int = 0) -> DataFrame:
     return other.unionByName(edge).where("copies > 0")
 
 
+#: As ``total_tokens``: as many tokens as the sources of a mix hold, so that small ones are clamped.
+ALL = "all"
+
+
 def make_mixes(
-    documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0, tokenizer: str | None = None
+    documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, seed: int = 0, tokenizer: str | None = None, size_col: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The mixes, as ``sample_mix`` gives them, and the report of ``report_shares``.
 
+    ``total_tokens``: the size of each mix; by default the greatest at which the targets are met
+    exactly; with ``ALL`` that of the targeted sources. ``size_col``: a column that holds the sizes
+    already; otherwise texts are tokenized.
+
     ``documents``: ``doc_id`` (unique), ``source``, ``text``; ``targets``: ``mix_name``,
     ``source``, ``target_share``, ``max_repeats``. Targets with a null mix or source count as not
     given, null shares and repeats as 0. A targeted source without tokens or repeats has the
@@ -177,7 +203,7 @@ def make_mixes(
     Sources without a target are in no mix, documents with a null source neither. Empty tables give no rows. Each text is tokenized
     once; only ids, sources and sizes are kept.
     """
-    counts = cut(token_counts(documents, tokenizer))
+    counts = cut(sizes_given(documents, size_col) if size_col else token_counts(documents, tokenizer))
     plan = plan_mixes(counts, targets, total_tokens)
     mix = sample_mix(counts, plan, seed)
     return mix, report_shares(mix, plan)
