@@ -69,6 +69,14 @@ def _started(totals: DataFrame, groups: list[str], quantiles: list[float]) -> Da
     return each.select(*groups, "q", "n", F.lit(0).cast("long").alias("_prefix"), rank.alias("_rank"))
 
 
+def _followed(rows: DataFrame, targets: DataFrame, groups: list[str], done: int) -> DataFrame:
+    """Rows whose prefix holds a target's rank."""
+    if not done:
+        return rows
+    wanted = targets.select(*[F.col(g).alias(f"_w_{g}") for g in groups], F.col("_prefix").alias("_w_prefix")).distinct()
+    return rows.join(broadcast_if_small(wanted), _same([*groups, "_prefix"], [*[f"_w_{g}" for g in groups], "_w_prefix"]), "left_semi")
+
+
 def radix_percentiles(df: DataFrame, groups: list[str], value_col: str, quantiles: list[float], bits: int = 64) -> DataFrame:
     """Per group and quantile: ``q``, ``n`` (values counted), ``value`` and ``error_bound``.
 
@@ -85,10 +93,7 @@ def radix_percentiles(df: DataFrame, groups: list[str], value_col: str, quantile
     for done in range(0, bits, DIGIT):
         shift = 64 - done - DIGIT
         rows = keyed.withColumns({"_digit": F.shiftright("_key", shift), "_prefix": F.shiftright("_key", shift + DIGIT) if done else F.lit(0).cast("long")})
-        if done:
-            wanted = targets.select(*[F.col(g).alias(f"_w_{g}") for g in groups], F.col("_prefix").alias("_w_prefix")).distinct()
-            rows = rows.join(broadcast_if_small(wanted), _same([*groups, "_prefix"], [*[f"_w_{g}" for g in groups], "_w_prefix"]), "left_semi")
-        counts = rows.groupBy(*groups, "_prefix", "_digit").agg(F.count("*").alias("_count"))
+        counts = _followed(rows, targets, groups, done).groupBy(*groups, "_prefix", "_digit").agg(F.count("*").alias("_count"))
         targets = cut(_located(counts, targets, groups))
     return _valued(targets, groups, bits)
 
@@ -118,7 +123,14 @@ def merge_histograms(histograms: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def histogram_percentiles(histogram: DataFrame, groups: list[str], quantiles: list[float], bits: int = SKETCH_BITS) -> DataFrame:
-    """As ``radix_percentiles``, from a merged histogram, with its bounded error."""
-    kept = cut(histogram.select(*groups, F.lit(0).cast("long").alias("_prefix"), F.col("bucket").alias("_digit"), F.col("count").alias("_count")))
-    totals = kept.groupBy(*groups).agg(F.sum("_count").alias("n"))
-    return _valued(_located(kept, _started(totals, groups, quantiles), groups), groups, bits)
+    """As ``radix_percentiles``, from a merged histogram, with its bounded error.
+
+    Buckets are followed digit by digit as values are, so no group's buckets come together.
+    """
+    kept = cut(histogram.select(*groups, "bucket", "count"))
+    targets = _started(kept.groupBy(*groups).agg(F.sum("count").alias("n")), groups, quantiles)
+    for done in range(0, bits, DIGIT):
+        rest, before = max(bits - done - DIGIT, 0), bits - done
+        rows = kept.withColumns({"_digit": F.shiftright("bucket", rest), "_prefix": F.shiftright("bucket", before) if done else F.lit(0).cast("long")})
+        targets = cut(_located(_followed(rows, targets, groups, done).groupBy(*groups, "_prefix", "_digit").agg(F.sum("count").alias("_count")), targets, groups))
+    return _valued(targets, groups, bits)
