@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernbrand.functions.units import COMMON
-from fernbrand.operators import neighbours, percentiles, regular, spikes, times, trailing, units
+from fernbrand.operators import neighbours, regular, spikes, times, trailing, units
 from fernbrand.plans import data_oracles
 
 
@@ -96,46 +96,11 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("source").alias("station_code"), "field_name", F.col("second").alias("utc_second"), F.round("score", 6).alias("score"), "impossible", "in_jump", "in_run")
 
 
-QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-
-
-def _plain(spelling: str, names: list[str]) -> Column:
-    """One spelling of a name, Unknown for what is missing or none of the names."""
-    text = F.initcap(F.lower(F.trim(F.col(spelling))))
-    return F.when(text.isin(*names), text).otherwise("Unknown")
-
-
-def _fire_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct results, long: ``result_id``, ``cause``, ``season``, ``measure``, ``value``, ``month``."""
-    causes = _read(spark, sf_dir, "ignition", "ignition_id", "cause", "season").where("ignition_id is not null").select(
-        "ignition_id", _plain("cause", ["Lightning", "Human"]).alias("cause"), _plain("season", ["Spring", "Summer", "Fall", "Winter"]).alias("season"))
-    known = causes.groupBy("ignition_id").agg(F.min(F.struct("cause", "season")).alias("k")).select("ignition_id", "k.cause", "k.season")
-    results = _read(spark, sf_dir, "fire_result", "result_id", "ignition_id", "final_area_ha", "final_perimeter_m", "finished_at").distinct()
-    joined = results.join(known, "ignition_id", "left").fillna("Unknown", ["cause", "season"])
-    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("final_area_ha", "final_perimeter_m")])
-    return joined.select("cause", "season", F.date_format("finished_at", "yyyy-MM").alias("month"), F.explode(measures).alias("m")).select("cause", "season", "month", "m.*")
-
-
-def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.radix_percentiles(_fire_sizes(spark, sf_dir), ["measure", "cause", "season"], "value", QUANTILES).drop("error_bound")
-
-
-def p7_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles with bounded error from the histograms of separate months, added up."""
-    groups = ["measure", "cause", "season"]
-    monthly = percentiles.radix_histogram(_fire_sizes(spark, sf_dir), [*groups, "month"], "value")
-    return percentiles.histogram_percentiles(percentiles.merge_histograms(monthly, groups), groups, QUANTILES)
-
-
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
     "p6_scores": p6_scores,
-    "p7_percentiles": p7_percentiles, "p7_combined": p7_combined,
 }
 
-_NAMES = """case when lower(trim({c})) in ({names}) then upper(substr(trim({c}), 1, 1)) || lower(substr(trim({c}), 2)) else 'Unknown' end"""
-_CAUSE, _SEASON = _NAMES.format(c="cause", names="'lightning', 'human'"), _NAMES.format(c="season", names="'spring', 'summer', 'fall', 'winter'")
-
 ORACLES: dict[str, str] = data_oracles.ORACLES | {
     "p2_found": """
         with p as (select distinct ignition_id id, round(x * 100)::bigint x, round(y * 100)::bigint y from ignition
@@ -145,14 +110,4 @@ ORACLES: dict[str, str] = data_oracles.ORACLES | {
         from t a cross join (values (-1), (0), (1)) dx(i) cross join (values (-1), (0), (1)) dy(j)
         join t b on b.cx = a.cx + dx.i and b.cy = a.cy + dy.j
         where a.id < b.id and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100000000""",
-    "p7_percentiles": f"""
-        with i as (select ignition_id, min({{'cause': {_CAUSE}, 'season': {_SEASON}}}) k from ignition where ignition_id is not null group by 1),
-        r as (select distinct result_id, ignition_id, final_area_ha, final_perimeter_m, finished_at from fire_result),
-        j as (select coalesce(k.cause, 'Unknown') cause, coalesce(k.season, 'Unknown') season, final_area_ha, final_perimeter_m from r left join i using (ignition_id)),
-        v as (select 'final_area_ha' measure, cause, season, final_area_ha + 0e0 as value from j union all
-              select 'final_perimeter_m', cause, season, final_perimeter_m + 0e0 from j),
-        o as (select *, row_number() over (partition by measure, cause, season order by value) rk, count(*) over (partition by measure, cause, season) n
-              from v where value is not null and not isnan(value)),
-        q as (select unnest([{', '.join(f'{q}e0' for q in QUANTILES)}]) q)
-        select measure, cause, season, q, n, value from o, q where rk = greatest(1, ceil(round(q * n, 9)))::bigint""",
 }
