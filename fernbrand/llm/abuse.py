@@ -1,17 +1,19 @@
 """Abusive, hateful and sexual content, by nearest labelled examples.
 
-Labelled examples, and a few seeds in several languages, form an inverted index of TF-IDF
+Labelled examples, and a general lexicon in several languages, form an inverted index of TF-IDF
 vectors; every window of words of every document is compared with them by exact cosine.
-Document frequencies are those of the whole corpus. Blocks of the index whose greatest weights
-can't reach the threshold are skipped for many windows at a time. The neighbours of a window
-vote with weights that fall with their distance, harmless examples included; the vote is
-calibrated on the labels, each held against the others, and a document has the score of its
-worst window, with that window and its nearest example as evidence.
+Document frequencies are those of the whole corpus. The lists are sparse, with the greatest
+weight of each block of examples: windows whose words can't reach the least cosine are skipped,
+blocks that can't reach it aren't scored, and what is left is scored example by example. The
+neighbours of a window vote with weights that fall with their distance, harmless examples
+included; the vote is calibrated on the labels, each held against the others, and a document has
+the score of its worst window, with its nearest bad example as evidence.
 
 Words are read through their disguises: letters of other scripts that look alike, digits and
-signs for letters, stars, stretched or spaced letters, invisible characters, joined names.
+signs for letters, stars, stretched or spaced letters, invisible characters, joined names. Text
+of scripts without spaces counts as pairs of characters.
 
-The labels are a small fixed set, so their index goes to every task; the corpus is read twice
+The examples are bounded in number, so their index goes to every task; the corpus is read twice
 and never shuffled as text.
 """
 
@@ -20,7 +22,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,48 +34,50 @@ WINDOW, STRIDE = 12, 3
 BLOCK = 16
 #: Least cosine of a neighbour, neighbours that vote, and the power of the cosine in a vote.
 NEAR, NEIGHBOURS, POWER = 0.3, 8, 4
+#: Cosine of the nearest neighbour at which a vote counts half.
+HALF = 0.4
 #: Calibrated score from which a document counts as a case.
 CASE = 0.5
-#: Labelled examples that the driver may hold.
-MOST_LABELS = 100_000
+#: Labelled examples that are used (those with the least hashes, if there are more), and of them those that calibrate.
+MOST_LABELS, CALIBRATING = 100_000, 2_000
 #: Words that are searched at once, and windows compared at once.
-TOGETHER, COMPARED = 120_000, 1_000
+TOGETHER, COMPARED = 120_000, 4_000
 
 HARMLESS = "none"
 
-# Seeds, general phrases of each kind, as labels hold few languages.
-SEEDS = {
+# A general lexicon, as public lists of offensive words and published templates of
+# hateful statements hold it. It was written from such lists, not from any corpus.
+LEXICON = {
     "abusive": (
-        "you idiot", "you stupid idiot", "you are an idiot", "you moron", "you pathetic loser", "you scumbag", "you bastard", "you asshole", "you piece of shit",
-        "fuck you", "fuck off", "you dumbass", "you cretin", "you imbecile", "go to hell you idiot", "drop dead you bastard", "go kill yourself", "i will kill you bastard",
-        "i hope you die", "hope he dies", "hope she dies alone", "should be shot", "should be beaten", "what a retard", "you son of a bitch",
-        "du idiot", "du bist ein idiot", "du dummkopf", "verdammter idiot", "du trottel", "du arschloch", "vollpfosten", "halt die fresse", "du blöde kuh",
-        "eres un idiota", "eres un imbécil", "eres un inútil", "eres estúpido", "hijo de puta", "cállate imbécil", "eres un cretino",
-        "espèce d'idiot", "espèce de crétin", "espèce d'imbécile", "pauvre con", "sale connard", "ferme ta gueule", "tu es un abruti",
-        "sei un idiota", "sei un cretino", "pezzo di merda", "stronzo", "você é um idiota", "seu imbecil", "filho da puta", "je bent een idioot", "klootzak",
-        "jesteś idiotą", "ty kretynie", "ты идиот", "ты дурак", "тупой дебил", "заткнись",
-    ),
-    "hateful": (
-        "they are subhuman", "subhuman trash", "those people are filthy vermin", "do not deserve to live", "wipe them all out", "exterminate them all",
-        "go back where they came from", "they smell", "they steal", "they are all thieves", "they are too dumb", "too stupid to code", "women are too dumb to code",
-        "refugees are too dumb", "immigrants are criminals", "foreigners steal", "dirty foreigners", "keep those people out of this country",
-        "ausländer raus", "untermenschen", "fuera inmigrantes", "muerte a los extranjeros", "sale race", "mort aux étrangers", "fuori gli stranieri",
+        "idiot", "moron", "imbecile", "cretin", "scumbag", "bastard", "asshole", "arsehole", "dumbass", "dipshit", "shithead", "dickhead", "motherfucker", "wanker", "twat",
+        "stupid bitch", "piece of shit", "fuck you", "fuck off", "go to hell", "son of a bitch", "kill yourself", "i will kill you", "i hope you die", "you deserve to die", "shut your mouth",
+        "du idiot", "dummkopf", "trottel", "vollidiot", "schwachkopf", "arschloch", "hurensohn", "wichser", "halt die fresse", "verdammter idiot",
+        "idiota", "eres un idiota", "imbécil", "estúpido", "cretino", "gilipollas", "cabrón", "pendejo", "hijo de puta", "vete a la mierda",
+        "espèce d'idiot", "imbécile", "crétin", "abruti", "connard", "salope", "fils de pute", "ferme ta gueule", "va te faire foutre",
+        "imbecille", "stronzo", "coglione", "testa di cazzo", "pezzo di merda", "vaffanculo", "imbecil", "otário", "filho da puta", "vai se foder", "idioot", "klootzak", "eikel", "hou je bek",
+        "debil", "kretyn", "kurwa", "идиот", "дурак", "дебил", "сука", "урод", "заткнись", "aptal", "gerizekalı", "傻逼", "白痴", "蠢货", "混蛋", "去死", "馬鹿野郎", "死ね", "くそったれ", "바보", "병신", "멍청이",
     ),
+    "hateful": ("subhuman", "untermensch", "ausländer raus", "go back to your country", "muerte a los extranjeros", "mort aux étrangers", "fuori gli stranieri"),
     "sexual": (
-        "hardcore porn videos", "free porn videos", "naked pics", "nude pics", "horny sluts", "show me your tits",
-        "rub your tits", "rub your cock", "suck my cock", "lick my pussy", "big tits", "wet pussy", "give her an orgasm", "cum on her face", "fuck her hard", "nackte mädchen",
-        "geile schlampe", "fotos desnudas", "puta caliente", "filles nues", "baise moi", "ragazze nude",
-    ),
-    "none": (
-        "breast cancer screening", "naked eye", "naked pointer", "bare metal", "kill the process", "kill the child process", "master and slave replica", "dumb terminal",
-        "sex ratio", "sex column in the census", "ball cock valve", "stopcock", "idiot light", "garbage collector", "useless use of cat", "this code is stupid",
-        "stupid bug", "ugly hack", "damn bug", "i hate this bug", "dirty flag", "orphan process", "abort the transaction", "execute the next command", "keep it simple stupid", "this api is a mess", "strip the shell", "blind test",
+        "porn", "porno", "hardcore porn", "nude pics", "naked girls", "tits", "titties", "pussy", "cock sucking", "blowjob", "handjob", "cumshot", "dildo", "horny", "slut", "whore", "milf", "hentai", "orgasm", "gangbang",
+        "masturbate", "nackte mädchen", "schlampe", "ficken", "fotos desnudas", "tetas", "puta", "filles nues", "baise", "troia", "buceta",
     ),
+    HARMLESS: (),
 }
+# Groups of people and what hateful statements say of them; each is said of each.
+GROUPS = ("women", "immigrants", "foreigners", "refugees", "muslims", "jews", "gays", "black people", "disabled people", "those people")
+SAID = ("are vermin", "are subhuman", "are disgusting", "are scum", "are stupid", "are criminals", "are inferior", "should be deported", "should be exterminated", "deserve to die")
+
+
+def general_examples() -> list[tuple[str, str]]:
+    """Texts of the lexicon with their categories."""
+    return [(t, c) for c, texts in LEXICON.items() for t in texts] + [(f"{g} {s}", "hateful") for g in GROUPS for s in SAID]
+
 
 # Function words, which say little and count less.
 STOP = frozenset(
     "a an the is are was be been to of in on at and or not it its this that these those you your i my me we our they them their he she his her with for from as by so if then than "
+    "je te se ta me si va vai vas hou ze jij u ich sie er wir ihr vous nous ils elle vete tus mis sus al del ma mon ton son sa si mi ti ci ne ou et où os ao em por para con per una uns "
     "every all any one only who do does did will would can could should must may no nor but when while until once again out up off over there here what which "
     "du bist ein eine der die das und von mit zu ist nicht un una el la los las de del que y en es le les des et est tu te il un uno lo gli di da che non o os as um uma e".split()
 )
@@ -83,14 +86,26 @@ STOP_WEIGHT = 0.3
 OTHER_WEIGHT = 3.0
 #: How much likelier a bad example holds a leaning word than a harmless one does, and the least weight of such a word in any corpus.
 LEANING, FLOOR = 1.3, 3.5
-#: Weight from which any word of a bad example is telling: about one document in twenty holds it.
-TELLING = 3.0
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = str.maketrans("асеіјорѕхуԁһкмтвнгαεικορτυνχ", "aceijopsxydhkmtbhraeikoptuvx")
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
-_SPLIT = {c: " " for c in range(128) if not (chr(c).isalnum() or chr(c) in "@$!*")}
+# Scripts written without spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]+")
+
+
+class _Split(dict):
+    """For ``str.translate``: whatever is neither a letter, a digit nor a sign that stands for one separates."""
+
+    def __missing__(self, c: int):
+        ch = chr(c)
+        keeps = ch.isalnum() or ch in "@$!*" if c < 128 else unicodedata.category(ch)[0] not in "PSZ"
+        self[c] = c if keeps else " "
+        return self[c]
+
+
+_SPLIT = _Split()
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z][a-z]+|[^A-Z]+")
 _JOINED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
 _STRETCHED = re.compile(r"(.)\1{2,}")
@@ -105,6 +120,19 @@ def fold(word: str) -> str:
     return latin if latin.isascii() else plain
 
 
+def _skeleton(word: str) -> str:
+    """A word with signs, and letters that a sign may stand for, as one of them."""
+    return word.translate(_SKELETON)
+
+
+_SKELETON = str.maketrans({"l": "i"} | {sign: letters[0] for sign, letters in SIGNS.items()})
+
+
+def _pairs(text: str) -> list[str]:
+    """Pairs of neighbouring characters of unspaced text; a lone character as it is."""
+    return [text[i : i + 2] for i in range(max(len(text) - 1, 1))]
+
+
 class Words:
     """Numbers of the words of a vocabulary, through disguises. Other words get the last number."""
 
@@ -112,9 +140,10 @@ class Words:
         self.number = {w: i for i, w in enumerate(vocabulary)}
         self.other = len(vocabulary)
         self.signals = signals
-        self.shapes = defaultdict(list)
+        self.shapes, self.skeletons = defaultdict(list), defaultdict(list)
         for w in sorted(signals):
             self.shapes[len(w), w[0], w[-1]].append(w)
+            self.skeletons[_skeleton(w)].append(w)
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def _word(self, raw: str) -> int:
@@ -130,13 +159,11 @@ class Words:
         if "*" in word.strip("*") and sum(c.isalpha() for c in word) >= 2:
             pattern = re.compile(re.escape(word).replace(r"\*", "."))
             yield from (w for w in self.shapes.get((len(word), word[0], word[-1]), ()) if pattern.fullmatch(w))
-        if any(c in SIGNS for c in word) and any(c.isalpha() for c in word) and len(word) < 24:
-            choices = [SIGNS.get(c, c) for c in word]
-            if np.prod([len(c) for c in choices]) <= 64:
-                for letters in product(*choices):
-                    guess = "".join(letters)
-                    yield guess
-                    yield from self._shortened(guess)
+        if any(c in SIGNS for c in word) and any(c.isalpha() for c in word):
+            for form in (word, *self._shortened(word)):
+                for signal in self.skeletons.get(_skeleton(form), ()):
+                    if all(c == w or w in SIGNS.get(c, "") for c, w in zip(form, signal)):
+                        yield signal
         yield from self._shortened(word)
         if word.endswith("s"):
             yield word[:-1]
@@ -151,6 +178,11 @@ class Words:
         bare = token.strip("*!")
         if not bare:
             return ()
+        if not bare.isascii() and _UNSPACED.search(bare):
+            out = tuple(self.number.get(p, self.other) for part in _UNSPACED.findall(bare) for p in _pairs(part))
+            out += tuple(n for part in _UNSPACED.split(bare) if part for n in self._token(part))
+            self.memo[token] = out
+            return out
         bare = bare if any(c.isalpha() for c in bare) else "0"
         parts = _PARTS.findall(bare) if _JOINED.search(bare) else (bare,)
         out = tuple(self._word(p) for p in parts)
@@ -191,82 +223,157 @@ class Words:
 def plain_words(text: str) -> list[str]:
     """Folded words of an example; spaced, stretched or masked ones aren't vocabulary."""
     tokens = _INVISIBLE.sub("", text).translate(_SPLIT).split()
-    return [fold(p) for t in tokens for p in (_PARTS.findall(t) if _JOINED.search(t) else (t,)) if any(c.isalpha() for c in p)]
+    spaced = [fold(p) for t in tokens for u in _UNSPACED.split(t) for p in (_PARTS.findall(u) if _JOINED.search(u) else (u,)) if any(c.isalpha() for c in p)]
+    return spaced + [p for t in tokens for part in _UNSPACED.findall(t) for p in _pairs(part)]
+
+
+class _Lists:
+    """Weights by (word, place), sorted, and where each word's begin."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray, weights: np.ndarray, size: int, width: int) -> None:
+        self.width = max(width, 1)
+        keys = words.astype(np.int64) * self.width + places
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        self.keys = keys[order][first]
+        self.weights = np.maximum.reduceat(weights[order], first) if len(first) else np.zeros(0)
+        self.places = self.keys % self.width
+        self.begin = np.searchsorted(self.keys, np.arange(size + 1) * self.width)
+
+    def spread(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all entries of the lists of ``words``: which word, and which entry."""
+        begin, sizes = self.begin[words], self.begin[words + 1] - self.begin[words]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[owner]
+
+    def at(self, words: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The weight of each word at each place; 0 where it has none."""
+        if not len(self.keys):
+            return np.zeros(np.broadcast_shapes(words.shape, places.shape))
+        wanted = words.astype(np.int64) * self.width + places
+        found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[found] == wanted, self.weights[found], 0.0)
 
 
 class Examples:
     """The labelled examples and what a scan of the corpus needs of them."""
 
-    def __init__(self, labels: list[tuple[str, str]]) -> None:
+    def __init__(self, labels: list[tuple[str, str]], general: list[tuple[str, str]] | None = None) -> None:
         labels = [(t, c) for t, c in labels if t and c]
-        seeds = [(t, c) for c, texts in SEEDS.items() for t in texts]
-        self.texts = [t for t, _ in labels + seeds]
-        self.kinds = [c for _, c in labels + seeds]
-        self.labelled = len(labels)
+        general = general_examples() if general is None else general
+        # Bad ones first, so that their blocks come first.
+        both = sorted([(c == HARMLESS, i, t, c) for i, (t, c) in enumerate(labels + general)])
+        self.texts, self.kinds = [t for *_, t, _ in both], [c for *_, c in both]
+        self.labelled = np.array([i < len(labels) for _, i, _, _ in both])
+        self.bad = np.array([not good for good, *_ in both])
         bad, good = defaultdict(int), defaultdict(int)
-        for t, c in labels + seeds:
+        for t, c in zip(self.texts, self.kinds):
             for w in set(plain_words(t)):
                 (good if c == HARMLESS else bad)[w] += 1
-        clean = lambda w: len(w) > 1 and w.isalpha() and not _STRETCHED.search(w)
+        clean = lambda w: bool(_UNSPACED.match(w)) or (len(w) > 1 and w.isalpha() and not _STRETCHED.search(w))
         vocabulary = sorted(w for w in {*bad, *good} if clean(w))
-        self.words = Words(vocabulary, {w for w in bad if clean(w) and len(w) > 2 and w not in STOP})
-        n_good = self.kinds.count(HARMLESS)
-        n_bad = len(self.kinds) - n_good
+        self.words = Words(vocabulary, {w for w in bad if clean(w) and (len(w) > 2 or not w.isascii()) and w not in STOP})
+        n_good = len(self.bad) - int(self.bad.sum())
+        n_bad = len(self.bad) - n_good
         leans = lambda w: (bad[w] + 0.5) / (n_bad + 1) >= LEANING * (good[w] + 0.5) / (n_good + 1)
         #: Words that the examples alone show to be bad, however many documents hold them.
         self.leaning = np.array([w in self.words.signals and leans(w) for w in vocabulary] + [False])
-        self.stop = np.array([STOP_WEIGHT if w in STOP else 1.0 for w in vocabulary] + [1.0])
+        self.plain = np.array([w in STOP for w in vocabulary] + [True])
 
     def weigh(self, held: np.ndarray, documents: int) -> None:
         """Makes the index. ``held``: documents that hold each word of the vocabulary."""
-        self.idf = (np.log((documents + 1) / (np.append(held, 0) + 1)) + 0.1) * self.stop
-        rare = self.idf >= TELLING
+        self.idf = (np.log((documents + 1) / (np.append(held, 0) + 1)) + 0.1) * np.where(self.plain, STOP_WEIGHT, 1.0)
         self.idf[self.leaning] = np.maximum(self.idf[self.leaning], FLOOR)
         self.idf[-1] = min(OTHER_WEIGHT, np.log(documents + 1) + 0.1)
-        size = len(self.idf)
-        rows = np.zeros((len(self.texts), size))
+        size, n = len(self.idf), len(self.texts)
+        words, places, weights = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
         for i, t in enumerate(self.texts):
-            n = self.words.numbers(t)
-            n = n[n != self.words.other]
-            np.add.at(rows[i], n, self.idf[n])
-        norm = np.linalg.norm(rows, axis=1)
-        rows /= np.maximum(norm, 1e-9)[:, None]
-        order = np.argsort([k == HARMLESS for k in self.kinds], kind="stable")
-        self.order, self.bad = order, np.array([self.kinds[i] != HARMLESS for i in order])
-        self.vectors = rows[order].astype(np.float32)
-        blocks = -(-int(self.bad.sum()) // BLOCK)
-        padded = np.zeros((blocks * BLOCK, size), np.float32)
-        held_bad = self.vectors[self.bad]
-        padded[: len(held_bad)] = held_bad
-        #: Greatest weight of a word in each block of bad examples, times its own weight.
-        self.block_max = np.ascontiguousarray((padded.reshape(blocks, BLOCK, size).max(1) * self.idf).T.astype(np.float32) * np.float32(1.0001))
-        self.square = (self.idf**2).astype(np.float32)
-        #: Words that bad examples have and most documents don't.
-        self.telling = (self.block_max.max(1) > 0) & rare
-        #: Words that lean to the bad examples though many documents hold them: they count beside an example that holds them.
-        self.common = (self.block_max.max(1) > 0) & self.leaning & ~rare
+            ids, count = np.unique(self.words.numbers(t), return_counts=True)
+            ids, count = ids[ids != self.words.other], count[ids != self.words.other]
+            weight = count * self.idf[ids]
+            if len(ids):
+                words.append(ids)
+                places.append(np.full(len(ids), i))
+                weights.append(weight / np.linalg.norm(weight))
+        word, place, weight = (np.concatenate(x) for x in (words, places, weights))
+        self.by_example = _Lists(word, place, weight, size, n)
+        self.by_block = _Lists(word, place // BLOCK, weight, size, -(-n // BLOCK))
+        #: Blocks that hold bad examples.
+        self.bad_blocks = -(-int(self.bad.sum()) // BLOCK)
+        self.most = np.zeros(size)
+        of_bad = self.by_block.places < self.bad_blocks
+        np.maximum.at(self.most, self.by_block.keys[of_bad] // self.by_block.width, self.by_block.weights[of_bad])
+        self.most *= self.idf
+        self.square = self.idf**2
         self._calibrate()
 
-    def votes(self, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Share of the weighted votes that are bad, and the nearest bad example, for each row of cosines."""
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        at = np.take_along_axis(cosine, near, 1)
-        weight = np.where(at >= NEAR, at, 0.0) ** POWER
-        bad = (weight * self.bad[near]).sum(1)
-        # An undecided neighbour at the threshold keeps far or lone neighbours from deciding alone.
-        share = bad / (weight.sum(1) + NEAR**POWER)
-        return share, np.where(self.bad, cosine, -1).argmax(1)
+    def neighbours(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of a row of words and an example whose cosine is at least ``NEAR``: rows, examples, cosines."""
+        ordered = np.sort(windows, axis=1)
+        # A word's weight in a row is that of all its occurrences.
+        new = np.concatenate([np.ones((len(ordered), 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1)
+        row, column = np.nonzero(new)
+        flat = row * windows.shape[1] + column
+        count = np.diff(flat, append=windows.size)
+        word = ordered[row, column]
+        # Words that no example has differ from each other.
+        weight = np.where(word == self.words.other, np.sqrt(count), count) * self.idf[word]
+        norm = np.maximum(np.sqrt(np.bincount(row, weight**2, len(windows))), 1e-9)
+        weight = weight / norm[row]
+        known = word != self.words.other
+        row, word, weight = row[known], word[known], weight[known]
+        owner, entry = self.by_block.spread(word)
+        pair, at = np.unique(row[owner].astype(np.int64) * self.by_block.width + self.by_block.places[entry], return_inverse=True)
+        bound = np.bincount(at, weight[owner] * self.by_block.weights[entry], len(pair))
+        pair = pair[bound >= NEAR - 1e-9]
+        r, block = pair // self.by_block.width, pair % self.by_block.width
+        rows, examples, cosines = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        begin = np.searchsorted(row, np.arange(len(windows) + 1))
+        sizes = begin[r + 1] - begin[r]
+        each = np.repeat(np.arange(len(r)), sizes)
+        member = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[r[each]]
+        for k in range(BLOCK):
+            example = block * BLOCK + k
+            inside = example < len(self.texts)
+            cosine = np.bincount(each, weight[member] * self.by_example.at(word[member], np.minimum(example, len(self.texts) - 1)[each]), len(r))
+            keep = inside & (cosine >= NEAR)
+            rows.append(r[keep])
+            examples.append(example[keep])
+            cosines.append(cosine[keep])
+        return np.concatenate(rows), np.concatenate(examples), np.concatenate(cosines)
+
+    def votes(self, row: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of ``n`` rows: share of the weighted votes that are bad, the nearest bad example (-1: none), and the greatest cosine."""
+        order = np.lexsort((example, -cosine, row))
+        row, example, cosine = row[order], example[order], cosine[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        weight = np.where(rank < NEIGHBOURS, cosine, 0.0) ** POWER
+        bad = self.bad[example]
+        nearest, top = np.full(n, -1), np.zeros(n)
+        r, first = np.unique(row[bad], return_index=True)
+        nearest[r] = example[bad][first]
+        r, first = np.unique(row, return_index=True)
+        top[r] = cosine[first]
+        # However many neighbours agree, they decide only as far as the nearest of them is near.
+        share = np.bincount(row, weight * bad, n) / np.maximum(np.bincount(row, weight, n), 1e-300)
+        return share * top**POWER / (top**POWER + HALF**POWER), nearest, top
 
     def _calibrate(self) -> None:
         """Logistic calibration of the vote on the labels, each held against the others."""
         self.slope, self.offset = 8.0, 4.0
-        place = np.argsort(self.order)[: self.labelled]
-        if self.labelled < 20:
+        place = np.flatnonzero(self.labelled)[:: max(1, int(self.labelled.sum()) // CALIBRATING)]
+        numbers = [self.words.numbers(self.texts[i]) for i in place]
+        if not numbers:
             return
-        cosine = self.vectors[place] @ self.vectors.T
-        cosine[cosine > 0.9999] = 0.0
-        share, _ = self.votes(cosine)
+        rows = np.full((len(numbers), max(1, max(map(len, numbers)))), self.words.other)
+        idf = self.idf[-1]
+        self.idf[-1] = 0.0
+        for i, n in enumerate(numbers):
+            rows[i, : len(n)] = n
+        row, example, cosine = self.neighbours(rows)
+        self.idf[-1] = idf
+        other = cosine < 0.9999
+        share, _, _ = self.votes(row[other], example[other], cosine[other], len(rows))
         truth = self.bad[place].astype(float)
         slope, offset = self.slope, self.offset
         for _ in range(300):
@@ -279,7 +386,7 @@ class Examples:
         return 1 / (1 + np.exp(-(self.slope * share - self.offset)))
 
     def search(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Telling words near a bad example (their places), the votes and the nearest bad examples.
+        """Words that a window shares with its nearest bad example (their places), the votes and those examples.
 
         A word is judged by the window around it that is nearest to any example, so that a window
         that cuts a harmless phrase short doesn't count against it.
@@ -290,35 +397,38 @@ class Examples:
         for begin in range(0, len(numbers), TOGETHER):
             here = padded[begin : begin + TOGETHER + WINDOW - STRIDE]
             here = here[: len(here) // STRIDE * STRIDE]
-            most = self.block_max[here].reshape(-1, STRIDE, self.block_max.shape[1]).sum(1)
-            square = self.square[here].reshape(-1, STRIDE).sum(1)
+            most, square = (v[here].reshape(-1, STRIDE).sum(1) for v in (self.most, self.square))
             last = len(most) - steps + 1
             if last < 1:
                 continue
-            bound = sum(most[k : k + last] for k in range(steps)).max(1)
-            norm = np.sqrt(sum(square[k : k + last] for k in range(steps)))
-            found.append(np.flatnonzero((bound >= NEAR * norm) & (norm > 0)) * STRIDE + begin)
-        starts = np.unique(np.concatenate(found)[:, None] + np.arange(STRIDE - WINDOW, WINDOW, STRIDE)) if len(found) > 1 else found[0]
+            bound, norm = (sum(v[k : k + last] for k in range(steps)) for v in (most, square))
+            found.append(np.flatnonzero(bound >= NEAR * np.sqrt(norm) * (1 - 1e-9)) * STRIDE + begin)
+        found = np.concatenate(found)
+        found = found[self.most[padded[found[:, None] + np.arange(WINDOW)]].max(1, initial=0) > 0] if len(found) else found
+        near = [np.zeros(0, int)]
+        for part in range(0, len(found), COMPARED):
+            at = found[part : part + COMPARED]
+            row, example, _ = self.neighbours(padded[at[:, None] + np.arange(WINDOW)])
+            near.append(at[np.unique(row[self.bad[example]])])
+        near = np.concatenate(near)
+        starts = np.unique(near[:, None] + np.arange(STRIDE - WINDOW, WINDOW, STRIDE))
         starts = starts[(starts >= 0) & (starts < max(len(numbers), 1))].astype(int)
-        places, shares, nearest, tops = [], [], [], []
+        places, shares, nearest, tops = ([np.zeros(0, k)] for k in (int, float, int, float))
         for part in range(0, len(starts), COMPARED):
             at = starts[part : part + COMPARED]
             window = padded[at[:, None] + np.arange(WINDOW)]
-            x = np.zeros((len(at), len(self.idf)), np.float32)
-            np.add.at(x, (np.arange(len(at))[:, None], window), self.idf[window].astype(np.float32))
-            x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
-            cosine = x @ self.vectors.T
-            share, near = self.votes(cosine)
-            row, column = np.nonzero(self.telling[window] | (self.common[window] & (self.vectors[near[:, None], window] > 0)))
+            share, close, top = self.votes(*self.neighbours(window), len(at))
+            shared = (self.by_example.at(window, np.maximum(close, 0)[:, None]) > 0) & (close >= 0)[:, None] & ~self.plain[window]
+            # A window without a bad neighbour still speaks for its harmless words.
+            row, column = np.nonzero(shared | ((close < 0) & (top > 0))[:, None])
             places.append(at[row] + column)
             shares.append(share[row])
-            nearest.append(near[row])
-            tops.append(cosine.max(1)[row])
-        if not sum(map(len, places)):
-            return np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+            nearest.append(close[row])
+            tops.append(top[row])
         place, share, near, top = (np.concatenate(v) for v in (places, shares, nearest, tops))
         order = np.lexsort((-top, place))
-        first = order[np.concatenate([[True], np.diff(place[order]) > 0])]
+        first = order[np.diff(place[order], prepend=-1) > 0]
+        first = first[near[first] >= 0]
         return place[first], share[first], near[first]
 
 
@@ -355,27 +465,27 @@ def _scored(batches, shared):
         best, example = np.zeros(n), np.full(n, -1)
         best[owner[first]], example[owner[first]] = share[first], near[first]
         score = examples.score(best)
-        shown = [(examples.kinds[examples.order[e]], examples.texts[examples.order[e]]) if s >= CASE else (HARMLESS, None) for e, s in zip(example, score)]
+        shown = [(examples.kinds[e], examples.texts[e]) if s >= CASE else (HARMLESS, None) for e, s in zip(example, score)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(score), pa.array([k for k, _ in shown], pa.string()), pa.array([t for _, t in shown], pa.string()), *batch.columns[2:]],
             names=[batch.schema.names[0], "abuse_score", "abuse_kind", "nearest_example", *batch.schema.names[2:]],
         )
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, general: list[tuple[str, str]] | None = None) -> DataFrame:
     """A row for each row of ``documents``: ``doc_id``, ``abuse_score`` (0 to 1), ``abuse_kind`` and
     ``nearest_example`` (of the worst window; ``none`` and null under ``CASE``), and the columns in ``keep``.
 
-    ``documents``: ``doc_id``, ``text``; ``labels``: ``snippet``, ``category`` (``none``: harmless), at
-    most ``MOST_LABELS`` rows, which is checked; rows with a null are left out. Null and empty
+    ``documents``: ``doc_id``, ``text``; ``labels``: ``snippet``, ``category`` (``none``: harmless), of
+    which at most ``MOST_LABELS`` distinct ones are used; rows with a null are left out. ``general``: examples
+    beside the labels, by default those of ``general_examples``; an empty list for none. Null and empty
     texts get the lowest score; whole texts are read, however long; ties take the first example;
     repeated rows get equal results; an empty table gives no rows.
     """
     spark, keep = documents.sparkSession, keep or []
-    rows = labels.select("snippet", "category").limit(MOST_LABELS + 1).collect()
-    if len(rows) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    examples = Examples(sorted((r[0], r[1]) for r in rows if r[0] and r[1]))
+    given = labels.select("snippet", "category").where("snippet <> '' and category is not null").distinct()
+    rows = given.orderBy(F.xxhash64("snippet", "category"), "snippet", "category").limit(MOST_LABELS).collect()
+    examples = Examples(sorted((r[0], r[1]) for r in rows), general)
     shared = spark.sparkContext.broadcast(examples)
     counts = documents.select("text").mapInArrow(lambda b: _held(b, shared), "word bigint, held bigint").groupBy("word").agg(F.sum("held").alias("held"))
     held = {r["word"]: r["held"] for r in counts.collect()}

@@ -110,13 +110,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).where(F.col("abuse_score") >= abuse.CASE).select("doc_id").distinct()
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, and what it is nearest to."""
+    return _scored(spark, sf_dir).select("doc_id", F.round("abuse_score", 6).alias("abuse_score"), "abuse_kind", "nearest_example")
+
+
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(_scored(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p7_percentiles": p7_percentiles, "p7_combined": p7_combined, "p7_bounded": p7_bounded, "p8_found": p8_found, "p8_sides": p8_sides, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_clamped": p9_clamped, "p9_chars": p9_chars, "p9_chars_shares": p9_chars_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+        "p7_percentiles": p7_percentiles, "p7_combined": p7_combined, "p7_bounded": p7_bounded, "p8_found": p8_found, "p8_sides": p8_sides, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_clamped": p9_clamped, "p9_chars": p9_chars, "p9_chars_shares": p9_chars_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 
 _NAMES = """case when lower(trim({c})) in ({names}) then upper(substr(trim({c}), 1, 1)) || lower(substr(trim({c}), 2)) else 'Unknown' end"""

@@ -162,35 +162,64 @@ def test_abuse_plain_and_disguised(spark):
     assert sum(r["abuse_score"] >= abuse.CASE for i, r in rows.items() if i >= 1000) == 0
 
 
-def test_abuse_search_is_exact(spark):
+def test_neighbours_are_those_of_a_full_comparison():
     examples = abuse.Examples(sorted((t, c) for t, c in LABELS if t and c))
     rng = np.random.default_rng(1)
-    examples.weigh(rng.integers(0, 50, examples.words.other).astype(float), 100)
-    numbers = rng.integers(0, examples.words.other + 1, 900).astype(np.int32)
-    at, share, near = examples.search(numbers)
-    padded = np.concatenate([numbers, np.full(abuse.WINDOW, examples.words.other)])
-    best = {}
-    for s in range(0, len(numbers), abuse.STRIDE):
-        window = padded[s : s + abuse.WINDOW]
-        x = np.zeros(len(examples.idf))
-        np.add.at(x, window, examples.idf[window])
-        cosine = examples.vectors @ (x / np.linalg.norm(x))
-        if cosine[examples.bad].max() >= abuse.NEAR + 1e-3:
-            best[s] = cosine[examples.bad].max()
-    telling = {s for s in best if examples.telling[padded[s : s + abuse.WINDOW]].any()}
-    assert telling and all(any(s <= a < s + abuse.WINDOW for a in at) for s in telling)
-
-
-def test_abuse_in_few_documents_and_in_a_third_of_them(spark):
+    other = examples.words.other
+    examples.weigh(rng.integers(0, 50, other).astype(float), 100)
+    windows = rng.integers(0, other + 1, (500, abuse.WINDOW))
+    for i, text in enumerate(examples.texts[:150]):
+        n = examples.words.numbers(text)[: abuse.WINDOW]
+        windows[i, : len(n)] = n
+    vectors = np.zeros((len(examples.texts), other + 1))
+    for i, text in enumerate(examples.texts):
+        n = examples.words.numbers(text)
+        np.add.at(vectors[i], n[n != other], examples.idf[n[n != other]])
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+    want = {}
+    for w, window in enumerate(windows):
+        x = np.zeros(other + 1)
+        np.add.at(x, window[window != other], examples.idf[window[window != other]])
+        norm = np.sqrt((x**2).sum() + (window == other).sum() * examples.idf[-1] ** 2)
+        for e in np.flatnonzero(vectors @ x / norm >= abuse.NEAR):
+            want[w, e] = (vectors[e] * x).sum() / norm
+    got = {(r, e): c for r, e, c in zip(*(v.tolist() for v in examples.neighbours(windows)))}
+    assert len(want) > 200 and {k for k, v in want.items() if v > abuse.NEAR + 1e-9} <= set(got) <= set(want) | {k for k in got if got[k] < abuse.NEAR + 1e-9}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want if k in got)
+    # The passes before it lose no window that has a bad neighbour.
+    text = rng.integers(0, other + 1, 3_000).astype(np.int32)
+    at, _, _ = examples.search(text)
+    padded = np.concatenate([text, np.full(abuse.WINDOW, other, np.int32)])
+    starts = np.arange(0, len(text), abuse.STRIDE)
+    row, example, _ = examples.neighbours(padded[starts[:, None] + np.arange(abuse.WINDOW)])
+    held = np.unique(starts[row[examples.bad[example]]])
+    assert len(held) and all(((at >= s - abuse.WINDOW) & (at < s + 2 * abuse.WINDOW)).any() for s in held)
+
+
+def test_abuse_in_few_documents_and_in_many_of_them(spark):
     rng = random.Random(10)
     labels = spark.createDataFrame(LABELS, "snippet string, category string")
     bad = "only a moron like you would nounab a nounac here"
-    for n, copies in ((5, 1), (5, 5), (90, 30), (90, 9)):
+    for n, copies in ((1, 1), (5, 1), (5, 5), (20, 10), (90, 30), (90, 9), (400, 200)):
         texts = [f"{text(rng, 30, COMMON)}\n{bad if i < copies else 'returns the nounab'}\n{text(rng, 30, COMMON)}" for i in range(n)]
         rows = abuse.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), labels).collect()
-        assert {r["doc_id"] for r in rows if r["abuse_score"] >= abuse.CASE} == set(range(copies))
+        assert len(rows) == n and {r["doc_id"] for r in rows if r["abuse_score"] >= abuse.CASE} == set(range(copies))
     plain = spark.createDataFrame([(i, text(rng, 30, COMMON)) for i in range(5)], "doc_id int, text string")
     assert all(r["abuse_score"] < abuse.CASE for r in abuse.score_documents(plain, labels).collect())
+    few = spark.createDataFrame([("only a moron like you", "abusive")], "snippet string, category string")
+    one = abuse.score_documents(spark.createDataFrame([(1, bad)], "doc_id int, text string"), few, general=[]).collect()
+    assert one[0]["abuse_score"] >= abuse.CASE
+    assert abuse.score_documents(plain, labels.limit(0), general=[]).count() == 5
+
+
+def test_abuse_in_other_scripts_signs_and_long_words(spark):
+    put = lambda s: f"{text(random.Random(3), 30, COMMON)}\n{s}\n{text(random.Random(4), 30, COMMON)}"
+    bad = ["# 你是个白痴", "// この馬鹿野郎", "“you moron”", "«ты идиот»…", "you 1d10t", "you are a m o r o n", "you 5cumb4g"]
+    rows = {r["doc_id"]: r for r in score(spark, [put(b) for b in bad] + [put("# 这个函数返回列表"), put("// この関数は一覧を返す")]).collect()}
+    assert [b for i, b in enumerate(bad) if rows[i]["abuse_score"] < abuse.CASE] == []
+    assert rows[len(bad)]["abuse_score"] < abuse.CASE and rows[len(bad) + 1]["abuse_score"] < abuse.CASE
+    words = abuse.Words(["pneumonoultramicroscopicidiot"], {"pneumonoultramicroscopicidiot"})
+    assert words.numbers("pn3um0n0u1tr4m1cr05c0p1c1d10t").tolist() == [0]
 
 
 def test_rates_and_empty(spark):
