@@ -5,60 +5,38 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from dataclasses import replace
 
 import pyspark
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from fernbrand import __version__, config
-from fernbrand.operators import cells, fires, fireweather
-from fernbrand.session import cut
-from fernbrand.sources import tables
+from fernbrand.operators import cells
+from fernbrand.plans import simulation
+from fernbrand.sources import rasters, tables
 
 
-def simulate(spark: SparkSession, settings: config.Config) -> str:
-    """Grows the fires of a configuration and writes rings and summary; gives the output folder.
-
-    ``inputs.cells``: a table of ``grid_row``, ``grid_col``, ``x``, ``y``, ``elev``, ``fuel_id`` on a square
-    grid; ``inputs.ignitions``: ``fire_id``, ``x``, ``y``; the weather counts as its representative day.
-    """
-    grid = spark.read.parquet(settings.inputs.cells)
-    corner = grid.agg(F.min("x").alias("x0"), F.max("y").alias("y0"), F.max("x").alias("x1"), F.max("grid_col").alias("c")).first()
-    size = (corner["x1"] - corner["x0"]) / max(corner["c"], 1) or 30.0
-    weather = tables.read_weather(spark, settings.inputs.weather, settings.inputs.stations)
-    if "isi" in weather.columns:
-        weather = weather.withColumn("category", fireweather.category(F.col("isi")))
-        typical = fireweather.representative(weather).first().asDict()
-    else:
-        typical = {}
-    usual = {k: float(typical[k]) if typical.get(k) is not None else v for k, v in fireweather.USUAL.items()}
-    steps = settings.simulation.steps
-    line = spark.range(1).select(F.lit(0).alias("step"), *[F.lit(usual[k]).alias(k) for k in ("isi", "bui", "wd", "temp", "rh")])
-    ground = cells.slope_aspect(grid, "elev", size).withColumn("zero_ros", F.lit(False))
-    sim, spread = settings.simulation, settings.spread
-    rings = cut(fires.grow_fires(
-        spark.read.parquet(settings.inputs.ignitions), ground, line, steps, {"left": corner["x0"] - size / 2, "top": corner["y0"] + size / 2, "size": size}, sim.n_vertices, sim.initial_radius,
-        sim.store_every, sim.use_markers, sim.dt, sim.min_ros, spread.slope_strength, spread.backing_share, spread.length_to_breadth,
-    ))
-    last = fires.final_rings(rings)
-    summary = fires.ring_measures(last, ["fire_id", "t_min"]).withColumnRenamed("t_min", "dur_min")
-    tables.write_results(rings, summary, settings.output)
-    return settings.output
+def main_arguments(parser: argparse.ArgumentParser) -> None:
+    parser.add_argument("config")
+    parser.add_argument("-o", "--output")
+    parser.add_argument("-s", "--seed", type=int)
+    parser.add_argument("-n", "--iterations", type=int)
+    parser.add_argument("-v", "--verbose", action="store_true")
+    parser.add_argument("-q", "--quiet", action="store_true")
 
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fernbrand", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
     for name in ("run", "validate"):
-        p = sub.add_parser(name)
-        p.add_argument("config")
-        p.add_argument("-o", "--output")
-        p.add_argument("-s", "--seed", type=int)
+        main_arguments(sub.add_parser(name))
     p = sub.add_parser("init")
     p.add_argument("-o", "--output", default="fernbrand.yaml")
     p.add_argument("-f", "--force", action="store_true")
     p = sub.add_parser("terrain")
-    p.add_argument("dem", help="cells as parquet, with elev")
+    p.add_argument("dem", help="cells with elev, an ASCII grid or a GeoTIFF")
+    p.add_argument("--crs")
     p.add_argument("-o", "--output", required=True)
     p.add_argument("--size", type=float, default=30.0)
     sub.add_parser("info")
@@ -75,21 +53,35 @@ def main(arguments: list[str] | None = None) -> int:
         return 0
     if given.command == "terrain":
         spark = SparkSession.builder.getOrCreate()
-        tables.write_cells(cells.slope_aspect(spark.read.parquet(given.dem), "elev", given.size), given.output)
+        grid = rasters.read_grid(spark, given.dem, "elev")
+        size_y = given.size
+        size = given.size
+        if cells.is_geographic(given.crs, given.size):
+            middle = grid.agg(F.avg("y")).first()[0]
+            size, size_y = (given.size * m for m in cells.metres_per_degree(middle))
+        tables.write_cells(cells.slope_aspect(grid, "elev", size, size_y), given.output)
         return 0
     try:
         settings, unknown = config.load(given.config)
     except (OSError, config.ConfigError) as error:
         print(f"configuration: {error}", file=sys.stderr)
         return 1
-    for name in unknown:
-        print(f"unknown setting: {name}", file=sys.stderr)
-    settings = config.Config(settings.inputs, settings.spread, settings.simulation, settings.ignition, given.output or settings.output, settings.seed if given.seed is None else given.seed)
+    drawn = settings.ignition if given.iterations is None else replace(settings.ignition, n_iterations=given.iterations)
+    settings = replace(settings, output=given.output or settings.output, seed=settings.seed if given.seed is None else given.seed, ignition=drawn)
+    if not given.quiet:
+        for note in [*(f"unknown setting: {name}" for name in unknown), *config.warnings(settings)]:
+            print(note, file=sys.stderr)
     if problems := config.missing_inputs(settings):
         print("\n".join(problems), file=sys.stderr)
         return 1
     if given.command == "run":
-        print(simulate(SparkSession.builder.getOrCreate(), settings))
+        spark = SparkSession.builder.getOrCreate()
+        if given.verbose:
+            spark.sparkContext.setLogLevel("INFO")
+        summary = simulation.run(spark, settings)
+        if not given.quiet:
+            total = summary.agg(F.count("*").alias("n"), F.sum("area_ha").alias("ha")).first()
+            print(f"{total['n']} fires, {total['ha'] or 0.0:.2f} ha: {settings.output}")
     return 0
 
 

@@ -18,24 +18,28 @@ def tangents(ring: np.ndarray) -> np.ndarray:
     return change / np.where(size > 0, size, 1.0)[:, None]
 
 
+#: Added to a speed that is divided by, so that a vertex that doesn't move (no rate, no tangent) gives 0.
+STILL = 1e-15
+
+
 def velocities(ring: np.ndarray, head: np.ndarray, back: np.ndarray, flank: np.ndarray, azimuth: np.ndarray) -> np.ndarray:
     """Motion of each vertex as part of an ellipse's envelope. ``azimuth`` in radians from north."""
     along, offset, across = (head + back) / 2, (head - back) / 2, flank
     t, cos, sin = tangents(ring), np.cos(azimuth), np.sin(azimuth)
     u, v = t[:, 0] * cos - t[:, 1] * sin, t[:, 0] * sin + t[:, 1] * cos
-    tiny = 1e-12 * (np.nanmean(along) + np.nanmean(across) + 1e-12)
-    size = np.sqrt((along * u) ** 2 + (across * v) ** 2) + tiny
+    size = np.sqrt((along * u) ** 2 + (across * v) ** 2) + STILL
     return np.stack([
         (across**2 * cos * v - along**2 * sin * u) / size + offset * sin, (-(across**2) * sin * v - along**2 * cos * u) / size + offset * cos,
     ], 1)
 
 
 def turning_numbers(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """How often the ring turns around each point."""
-    d = ring[None] - points[:, None]
-    angle = np.arctan2(d[..., 1], d[..., 0])
-    turn = np.diff(angle, axis=1, append=angle[:, :1])
-    return np.rint(((turn + np.pi) % (2 * np.pi) - np.pi).sum(1) / (2 * np.pi)).astype(int)
+    """How often the ring turns around each point: edges that pass it upwards on its right, less those downwards."""
+    after = np.roll(ring, -1, 0)
+    px, py = points[:, 0, None], points[:, 1, None]
+    below, next_below = ring[:, 1] <= py, after[:, 1] <= py
+    side = (after[:, 0] - ring[:, 0]) * (py - ring[:, 1]) - (px - ring[:, 0]) * (after[:, 1] - ring[:, 1])
+    return (below & ~next_below & (side > 0)).sum(1) - (~below & next_below & (side < 0)).sum(1)
 
 
 def active(ring: np.ndarray, step: float = 1.0) -> np.ndarray:
@@ -80,18 +84,21 @@ def bilinear(grid: np.ndarray, xs: np.ndarray, ys: np.ndarray, points: np.ndarra
     return grid[r0, c0] * (1 - dc) * (1 - dr) + grid[r0, c1] * dc * (1 - dr) + grid[r1, c0] * (1 - dc) * dr + grid[r1, c1] * dc * dr
 
 
-def grow(start: np.ndarray, sample, steps: int, dt: float = 1.0, least: float = 0.01, every: int = 10, markers: bool = True, marker_step: float = 1.0):
-    """Stored rings as (time, ring). ``sample(step, ring)`` gives head, back, flank and azimuth (radians).
+def grow(
+    ring: np.ndarray, sample, first: int, steps: int, dt: float = 1.0, least: float = 0.01, every: int = 10, markers: bool = True, marker_step: float = 1.0, scale: float = 1.0
+) -> tuple[list[tuple[float, np.ndarray]], np.ndarray, bool]:
+    """Steps ``first`` to ``steps`` of a front: stored rings as (time, ring), the last ring, and whether it still spreads.
 
-    Ends early once all of the front spreads slower than ``least``.
+    ``sample(step, ring)`` gives head, back, flank and azimuth (radians); rates over ``scale`` are in
+    units of the coordinates. Ends early once all of the front spreads slower than ``least``.
     """
-    ring, out = start, [(0.0, start)]
-    for step in range(steps):
+    out = []
+    for step in range(first, steps):
         head, back, flank, azimuth = sample(step, ring)
         if np.all(head < least):
-            break
-        move = velocities(ring, head, back, flank, azimuth)
-        ring = ring + dt * (move * active(ring, marker_step)[:, None] if markers else move)
+            return out, ring, False
+        move = velocities(ring, head / scale, back / scale, flank / scale, azimuth)
+        ring = ring + dt * (move * active(ring, marker_step / scale)[:, None] if markers else move)
         if (step + 1) % every == 0:
             out.append(((step + 1) * dt, ring))
-    return out
+    return out, ring, True

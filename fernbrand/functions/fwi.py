@@ -1,4 +1,5 @@
-"""Fire-weather indices. Each formula works on Columns and, through ``PLAIN``, on numbers.
+"""Fire-weather indices. Each formula works on Columns, through ``PLAIN`` on numbers,
+and through ``ARRAYS`` on arrays of numbers.
 
 Nulls give null on Columns, except where a docstring says otherwise.
 """
@@ -8,6 +9,7 @@ from __future__ import annotations
 import math
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 COLUMNS = SimpleNamespace(
@@ -19,6 +21,11 @@ PLAIN = SimpleNamespace(
     both=lambda a, b: a and b,
 )
 
+ARRAYS = SimpleNamespace(
+    exp=lambda x: np.exp(np.minimum(x, 700)), log=lambda x: np.log(np.maximum(x, 1e-300)), sqrt=np.sqrt, where=np.where, at=lambda table, month: np.asarray(table)[month - 1], most=np.maximum,
+    least=np.minimum, both=np.logical_and,
+)
+
 # Day-length factors of the duff moisture code and of the drought code, by month.
 DMC_DAY = (6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0)
 DC_DAY = (-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6)

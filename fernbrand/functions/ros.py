@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,12 +65,21 @@ def head_ros(fuel: str, isi: Column, bui: Column, fmc=100.0, curing=85.0, conife
     return F.greatest(rate * buildup(fuel, bui), F.lit(0.0))
 
 
-def fuel_name(code: Column) -> Column:
-    """Name of a numeric fuel code by the default map; NF for all others."""
-    out = F.lit("NF")
-    for number, name in reversed(FUEL_CODES.items()):
-        out = F.when(code == number, name).otherwise(out)
-    return out
+def fuel_name(code: Column, lookup: dict[int, str] | None = None) -> Column:
+    """Name of a numeric fuel code by ``lookup`` (by default ``FUEL_CODES``); NF for all others.
+
+    Names of other fuels, and ones that don't burn, are NF too.
+    """
+    known = {n: known_fuel(f) for n, f in (FUEL_CODES if lookup is None else lookup).items()}
+    pairs = [x for n, f in known.items() if f != "NF" for x in (F.lit(n), F.lit(f))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), code.cast("int")), F.lit("NF")) if pairs else F.lit("NF")
+
+
+def known_fuel(name: str) -> str:
+    """A fuel's name as in ``FUELS``; NF if it isn't one of them."""
+    plain = name.strip().upper()
+    plain = {"O-1": "O-1A"}.get(plain, plain)
+    return plain if plain in FUELS else "NF"
 
 
 def back_ros(head: Column, share=0.2) -> Column:
@@ -85,12 +95,23 @@ def azimuth(wind_direction: Column) -> Column:
     return F.pmod(wind_direction.cast("double") + 180.0, F.lit(360.0))
 
 
+# Effect of temperature, of height on it, and of humidity, from what they are counted, and the bounds of the factor.
+LAPSE, WARM_AT, DRY_AT, PER_DEGREE, PER_PERCENT, LEAST_FACTOR, MOST_FACTOR = 0.0065, 20.0, 30.0, 0.002, 0.001, 0.7, 1.3
+
+
+def head_plane(rate, open_, elev, slope, aspect, wind, temp, rh, strength=0.5) -> np.ndarray:
+    """Head rates of a plane of cells (arrays) at one instant: ``slope_factor`` and ``elevation_factor`` as there; 0 where a cell is closed or has no height."""
+    tilt = 1.0 + strength * np.tan(np.radians(slope)) * np.cos(np.radians(wind - (aspect + 180.0)))
+    height = np.clip(1.0 - PER_DEGREE * (temp - LAPSE * elev - WARM_AT) + PER_PERCENT * (rh - DRY_AT), LEAST_FACTOR, MOST_FACTOR)
+    return np.nan_to_num(np.where(open_, rate, 0.0) * np.where(np.isnan(tilt), 1.0, np.maximum(tilt, 0.0)) * height)
+
+
 def slope_factor(slope_deg: Column, aspect_deg: Column, wind_direction: Column, strength=0.5) -> Column:
     """Factor of the spread on a slope; 1 where the aspect is missing."""
     raw = 1.0 + strength * F.tan(F.radians(slope_deg)) * F.cos(F.radians(wind_direction - (aspect_deg + 180.0)))
     return F.when(raw.isNull(), 1.0).when(raw < 0, 0.0).otherwise(raw)
 
 
-def elevation_factor(elevation: Column, temp: Column, rh: Column, lapse=0.0065, temp_at=20.0, rh_at=30.0) -> Column:
-    raw = 1.0 - 0.002 * (temp - lapse * elevation - temp_at) + 0.001 * (rh - rh_at)
-    return F.when(raw < 0.7, 0.7).when(raw > 1.3, 1.3).otherwise(raw)
+def elevation_factor(elevation: Column, temp: Column, rh: Column, lapse=LAPSE, temp_at=WARM_AT, rh_at=DRY_AT) -> Column:
+    raw = 1.0 - PER_DEGREE * (temp - lapse * elevation - temp_at) + PER_PERCENT * (rh - rh_at)
+    return F.when(raw < LEAST_FACTOR, LEAST_FACTOR).when(raw > MOST_FACTOR, MOST_FACTOR).otherwise(raw)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernbrand.functions import fronts, ros
-from fernbrand.operators.cells import fuel_rates
-
-RINGS = "fire_id bigint, t_min double, vertex_id int, x double, y double"
+from fernbrand.operators.cells import crossed, fuel_rates, metres_per_degree
+from fernbrand.operators.quantiles import exact_quantiles
+from fernbrand.session import cut
 
 
 def _around(keys: list[str]):
@@ -33,18 +35,22 @@ def derivatives(rings: DataFrame, keys: list[str]) -> DataFrame:
 def front_velocity(rings: DataFrame, keys: list[str]) -> DataFrame:
     """``vx``, ``vy`` from ``xs``, ``ys``, ``head_ros``, ``back_ros``, ``flank_ros`` and ``azimuth`` (degrees)."""
     along, offset, across = (F.col("head_ros") + F.col("back_ros")) / 2, (F.col("head_ros") - F.col("back_ros")) / 2, F.col("flank_ros")
-    group = Window.partitionBy(*keys)
-    placed = rings.withColumns({"_a": along, "_c": offset, "_tiny": 1e-12 * (F.avg(along).over(group) + F.avg(across).over(group) + 1e-12), "_cos": F.cos(F.radians("azimuth")), "_sin": F.sin(F.radians("azimuth"))})
+    placed = rings.withColumns({"_a": along, "_c": offset, "_cos": F.cos(F.radians("azimuth")), "_sin": F.sin(F.radians("azimuth"))})
     placed = placed.withColumns({"_u": F.col("xs") * F.col("_cos") - F.col("ys") * F.col("_sin"), "_v": F.col("xs") * F.col("_sin") + F.col("ys") * F.col("_cos")})
     a2, b2, u, v, cos, sin = F.col("_a") ** 2, across**2, F.col("_u"), F.col("_v"), F.col("_cos"), F.col("_sin")
-    size = F.sqrt(a2 * u**2 + b2 * v**2) + F.col("_tiny")
+    size = F.sqrt(a2 * u**2 + b2 * v**2) + fronts.STILL
     vx, vy = (b2 * cos * v - a2 * sin * u) / size + F.col("_c") * sin, (-b2 * sin * v - a2 * cos * u) / size + F.col("_c") * cos
     return placed.select(*rings.columns, vx.alias("vx"), vy.alias("vy"))
 
 
-def ring_measures(rings: DataFrame, keys: list[str]) -> DataFrame:
-    """``area_ha`` and ``perimeter_m`` of each ring."""
+def ring_measures(rings: DataFrame, keys: list[str], latitude: float | None = None) -> DataFrame:
+    """``area_ha`` and ``perimeter_m`` of each ring. ``latitude``: coordinates are degrees, and metres those at that latitude."""
     _, after = _around(keys)
+    if latitude is not None:
+        wide, high = metres_per_degree(latitude)
+        # Distances from the ring's own mean, so that products of large coordinates don't cancel.
+        group = Window.partitionBy(*keys)
+        rings = rings.withColumns({"x": (F.col("x") - F.avg("x").over(group)) * wide, "y": (F.col("y") - F.avg("y").over(group)) * high})
     pairs = rings.withColumns({"_x": after("x"), "_y": after("y")})
     area = F.abs(F.sum(F.col("x") * F.col("_y") - F.col("_x") * F.col("y"))) / 2 / 10_000
     length = F.sum(F.sqrt((F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2))
@@ -64,90 +70,152 @@ def turning(points: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys, "point_id").agg(F.rint(F.sum(turn) / (2 * F.pi())).cast("int").alias("turning_number"))
 
 
-#: Steps times fuels whose rates the driver may hold and send to the tasks.
+#: Steps times fuels whose rates the driver holds and sends to the tasks at once.
 MOST_RATES = 2_000_000
+#: Steps that a task goes before it is given the cells around the front anew.
+SLAB = 60
+STATE = "fire_id bigint, step int, spreads boolean, xs array<double>, ys array<double>, t_min double"
 
 
-def _timeline(weather: DataFrame, steps: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Wind, temperature and humidity of each step, and the rates of each fuel (columns), in order of steps."""
-    names = [*ros.FUELS, "NF"]
-    rows = fuel_rates(weather.where((F.col("step") >= 0) & (F.col("step") < steps)), names).select("step", "fuel", "head_ros", "wd", "temp", "rh").limit(MOST_RATES + 1).collect()
-    if len(rows) > MOST_RATES:
-        raise ValueError("too many steps for one run; grow the fires in parts")
+def _timeline(weather: DataFrame, first: int, last: int, fuels: list[str], options: dict | None = None) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Steps from ``first`` to before ``last`` that have weather, in order; wind, temperature and humidity of each, and the rates of each fuel (columns)."""
+    rows = fuel_rates(weather.where((F.col("step") >= first) & (F.col("step") < last)), fuels, **(options or {})).select("step", "fuel", "head_ros", "wd", "temp", "rh").collect()
     times = sorted({r["step"] for r in rows})
     at = {t: i for i, t in enumerate(times)}
-    rates, lines = np.zeros((len(times), len(names))), {k: np.zeros(len(times)) for k in ("wd", "temp", "rh")}
+    rates, lines = np.zeros((len(times), len(fuels))), {k: np.zeros(len(times)) for k in ("wd", "temp", "rh")}
     for r in rows:
-        rates[at[r["step"]], names.index(r["fuel"])] = r["head_ros"]
+        rates[at[r["step"]], fuels.index(r["fuel"])] = r["head_ros"]
         for k, line in lines.items():
             line[at[r["step"]]] = r[k]
-    return lines, rates
+    return np.array(times, int), lines, rates
+
+
+def on_grid(ignitions: DataFrame, grid: dict) -> DataFrame:
+    """Ignitions between the centres of the grid's outermost cells."""
+    return ignitions.where(F.col("x").between(grid["x0"], grid["x1"]) & F.col("y").between(grid["y0"], grid["y1"]))
 
 
 def grow_fires(
     ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, n: int = 300, radius: float = 0.5, every: int = 10, markers: bool = True, dt: float = 1.0,
-    least: float = 0.01, strength: float = 0.5, back_share: float = 0.2, length_to_breadth: float = 2.0,
+    least: float = 0.01, strength: float = 0.5, back_share: float = 0.2, length_to_breadth: float = 2.0, lookup: dict[int, str] | None = None, latitude: float | None = None, marker_step: float = 1.0,
+    slab: int = SLAB, fuel_options: dict | None = None,
 ) -> DataFrame:
-    """Stored rings of each fire (``fire_id``, ``x``, ``y``), a row a vertex.
+    """Stored rings of each fire (``fire_id``, ``x``, ``y``), a row a vertex. A fire off the grid has no ring.
 
     ``cells``: ``grid_row``, ``grid_col``, ``fuel_id``, ``elev``, ``slope_deg``, ``aspect_deg``, ``zero_ros``;
-    ``weather``: ``step``, ``isi``, ``bui``, ``wd``, ``temp``, ``rh``; its last step holds on. The grid of rates by
-    steps is never made: the rates of each fuel at each step, which are few, go to every task, and
-    the rest follows from the cell. A fire can't leave the square of the sum of the greatest rates
-    around its ignition; only that square's cells are joined to it, and each fire is a task.
+    ``weather``: ``step``, ``isi``, ``bui``, ``wd``, ``temp``, ``rh``; its last step holds on. ``grid`` as ``cells.bounds``
+    gives it. ``latitude``: coordinates are degrees; rates are over the mean of the metres of a
+    degree of longitude and latitude there. The grid of rates by steps is never made: the rates of
+    each fuel on the grid at each step, which are few, go to every task, and the rest follows from
+    the cell. Fires go ``slab`` steps at a time: in these no front can leave the square
+    of the sum of the greatest rates around it, so only that square's cells are joined to it.
+    Between slabs fronts are written, so lost executors cost a slab at most.
     """
-    lines, rates = _timeline(weather, steps)
-    facts = cells.agg(F.max(F.when(~F.isnan("slope_deg"), F.col("slope_deg"))).alias("slope")).first()
-    steepest = 1 + abs(strength) * np.tan(np.radians(min(facts["slope"] or 0.0, 89.0)))
-    held = np.minimum(np.arange(steps), max(len(rates) - 1, 0))
-    reach = float((rates.max(1)[held].sum() if len(rates) else 0.0) * 1.3 * steepest * dt) + radius + 2 * grid["size"]
-    size, left, top = grid["size"], grid["left"], grid["top"]
-    span = int(np.ceil(reach / size)) + 1
-    row, col = F.floor((top - F.col("y")) / size), F.floor((F.col("x") - left) / size)
-    block = 2 * span + 1
-    placed = ignitions.withColumns({"_row": row.cast("int"), "_col": col.cast("int")})
-    # A fire's square touches at most four blocks of its own size, so an equi-join on blocks finds its cells.
-    tiles = F.array_distinct(F.array(*[
-        F.struct(F.floor((F.col("_row") + i) / block).alias("r"), F.floor((F.col("_col") + j) / block).alias("c")) for i in (-span, span) for j in (-span, span)
-    ]))
-    wanted = placed.withColumn("_t", F.explode(tiles)).select("fire_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "_row", "_col", "_t")
-    number = F.lit(len(ros.FUELS))
-    for i, f in enumerate(ros.FUELS):
+    spark, size, left, top = ignitions.sparkSession, grid["size"], grid["left"], grid["top"]
+    scale = 1.0 if latitude is None else sum(metres_per_degree(latitude)) / 2
+    named = cells.withColumn("_name", ros.fuel_name(F.col("fuel_id"), lookup))
+    facts = named.agg(F.max(F.when(~F.isnan("slope_deg"), F.col("slope_deg"))).alias("slope"), F.collect_set("_name").alias("fuels")).first()
+    fuels = [f for f in ros.FUELS if f in (facts["fuels"] or [])] + ["NF"]
+    steepest = 1.3 * (1 + abs(strength) * np.tan(np.radians(min(facts["slope"] or 0.0, 89.0))))
+    number = F.lit(len(fuels) - 1)
+    for i, f in enumerate(fuels):
         number = F.when(F.col("_name") == f, i).otherwise(number)
-    ground = cells.withColumn("_name", ros.fuel_name(F.col("fuel_id"))).select("grid_row", "grid_col", number.alias("fuel"), "elev", "slope_deg", "aspect_deg", "zero_ros")
-    side = ground.withColumn("_b", F.struct(F.floor(F.col("grid_row") / block).alias("r"), F.floor(F.col("grid_col") / block).alias("c")))
-    near = (F.abs(F.col("grid_row") - F.col("_row")) <= span) & (F.abs(F.col("grid_col") - F.col("_col")) <= span)
-    joined = wanted.join(side, (F.col("_t") == F.col("_b")) & near).drop("_t", "_b")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.arange(pdf["grid_row"].min(), pdf["grid_row"].max() + 1), np.arange(pdf["grid_col"].min(), pdf["grid_col"].max() + 1)
-        at = (pdf["grid_row"] - rows[0], pdf["grid_col"] - cols[0])
-        plane = lambda values, empty: (lambda g: (g.__setitem__(at, values), g)[1])(np.full((len(rows), len(cols)), empty))
-        fuel = plane(pdf["fuel"], len(ros.FUELS))
-        elev, slope, aspect = (plane(pdf[c].astype(float), np.nan) for c in ("elev", "slope_deg", "aspect_deg"))
-        open_ = plane(~pdf["zero_ros"].fillna(False).astype(bool), False)
-        xs, ys = left + (cols + 0.5) * size, top - (rows + 0.5) * size
-        known: dict[int, np.ndarray] = {}
-
-        def heads(k: int) -> np.ndarray:
-            if k not in known:
-                known.clear()
-                tilt = 1 + strength * np.tan(np.radians(slope)) * np.cos(np.radians(lines["wd"][k] - (aspect + 180)))
-                height = np.clip(1 - 0.002 * (lines["temp"][k] - 0.0065 * elev - 20) + 0.001 * (lines["rh"][k] - 30), 0.7, 1.3)
-                known[k] = np.nan_to_num(np.where(open_, rates[k][fuel], 0) * np.where(np.isnan(tilt), 1, np.maximum(tilt, 0)) * height)
-            return known[k]
-
-        def sample(step: int, ring: np.ndarray):
-            head = fronts.bilinear(heads(held[step]), xs, ys, ring)
-            back = back_share * head
-            return head, back, (head + back) / (2 * length_to_breadth), np.full(len(ring), np.radians((lines["wd"][held[step]] + 180) % 360))
-
-        stored = fronts.grow(fronts.circle(pdf["_x"].iloc[0], pdf["_y"].iloc[0], radius, n), sample, steps if len(rates) else 0, dt, least, every, markers)
-        return pd.concat([
-            pd.DataFrame({"fire_id": pdf["fire_id"].iloc[0], "t_min": float(t), "vertex_id": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]}) for t, ring in stored
-        ])
-
-    return joined.groupBy("fire_id").applyInPandas(one, RINGS)
+    # Tiles of a fixed side, whatever the reach, so that the cells are laid out once.
+    tile = 64
+    tiled = lambda c: F.floor(c / tile).cast("int")
+    ground = named.select("grid_row", "grid_col", number.alias("fuel"), "elev", "slope_deg", "aspect_deg", "zero_ros", tiled(F.col("grid_row")).alias("_tr"), tiled(F.col("grid_col")).alias("_tc"))
+    turn = [2 * np.pi * i / n for i in range(n)]
+    ring = lambda c, f: F.transform(F.array(*[F.lit(float(v)) for v in turn]), lambda a: F.col(c) + radius / scale * f(a))
+    start = on_grid(ignitions, grid).select(F.col("fire_id").cast("long").alias("fire_id"), F.lit(0).alias("step"), F.lit(True).alias("spreads"), ring("x", F.cos).alias("xs"), ring("y", F.sin).alias("ys"))
+    state = cut(start.withColumn("t_min", F.lit(0.0)))
+    stored = [state]
+    last_weather = weather.agg(F.max("step")).first()[0]
+    if last_weather is None:
+        return _vertices(state)
+    slab = max(1, min(slab, MOST_RATES // len(fuels)))
+    for first in range(0, steps, slab):
+        end = min(first + slab, steps)
+        times, lines, rates = _timeline(weather, min(first, last_weather), max(end, min(first, last_weather) + 1), fuels, fuel_options)
+        held = np.clip(np.searchsorted(times, np.arange(first, end), "right") - 1, 0, max(len(times) - 1, 0))
+        reach = float(rates.max(1)[held].sum() * steepest * dt) / scale + 2 * size
+        near = {
+            "_r0": F.floor((top - F.array_max("ys") - reach) / size), "_r1": F.floor((top - F.array_min("ys") + reach) / size),
+            "_c0": F.floor((F.array_min("xs") - reach - left) / size), "_c1": F.floor((F.array_max("xs") + reach - left) / size),
+        }
+        inside = {k: F.least(F.greatest(v, F.lit(0)), F.lit(grid["rows" if "r" in k else "cols"] - 1)).cast("int") for k, v in near.items()}
+        front = state.where("spreads").select("fire_id", "xs", "ys")
+        wanted = front.withColumns(inside).select("fire_id", "_r0", "_r1", "_c0", "_c1", F.explode(F.sequence(tiled(F.col("_r0")), tiled(F.col("_r1")))).alias("_wr"))
+        wanted = wanted.select("*", F.explode(F.sequence(tiled(F.col("_c0")), tiled(F.col("_c1")))).alias("_wc"))
+        joined = wanted.join(ground, (F.col("_wr") == F.col("_tr")) & (F.col("_wc") == F.col("_tc")))
+        joined = joined.where(F.col("grid_row").between(F.col("_r0"), F.col("_r1")) & F.col("grid_col").between(F.col("_c0"), F.col("_c1")))
+        joined = joined.select(F.col("fire_id").alias("fire"), "grid_row", "grid_col", "fuel", "elev", "slope_deg", "aspect_deg", "zero_ros")
+        settings = (first, end, held, lines, rates, left, top, size, scale, dt, least, every, markers, marker_step, strength, back_share, length_to_breadth)
+        grown = cut(joined.groupBy("fire").cogroup(front.groupBy("fire_id")).applyInPandas(_stepper(settings), STATE))
+        stored.append(grown.where("t_min is not null"))
+        state = grown.where("t_min is null")
+        if end < steps and not state.where("spreads").limit(1).count():
+            break
+    return _vertices(reduce(DataFrame.unionByName, stored))
+
+
+def _stepper(settings: tuple):
+    def one(ground: pd.DataFrame, front: pd.DataFrame) -> pd.DataFrame:
+        return _slab(ground, front, *settings)
+
+    return one
+
+
+def _vertices(rings: DataFrame) -> DataFrame:
+    """A row a vertex of rings held as arrays."""
+    each = rings.select("fire_id", "t_min", F.posexplode(F.arrays_zip("xs", "ys")).alias("vertex_id", "p"))
+    return each.select("fire_id", "t_min", F.col("vertex_id").cast("int").alias("vertex_id"), F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+
+
+def _slab(ground, front, first, end, held, lines, rates, left, top, size, scale, dt, least, every, markers, marker_step, strength, back_share, length_to_breadth) -> pd.DataFrame:
+    """A fire's stored rings in a slab of steps, and the ring at its end (without a time)."""
+    out = lambda fire, rings: pd.DataFrame({
+        "fire_id": [fire] * len(rings), "step": [end] * len(rings), "spreads": [r[2] for r in rings], "xs": [r[1][:, 0] for r in rings], "ys": [r[1][:, 1] for r in rings],
+        "t_min": pd.array([r[0] for r in rings], "Float64"),
+    })
+    if not len(front):
+        return pd.DataFrame({c.split()[0]: [] for c in STATE.split(", ")})
+    fire, ring = front["fire_id"].iloc[0], np.stack([np.asarray(front["xs"].iloc[0], float), np.asarray(front["ys"].iloc[0], float)], 1)
+    if not len(ground):
+        return out(fire, [(None, ring, False)])
+    rows, cols = np.arange(ground["grid_row"].min(), ground["grid_row"].max() + 1), np.arange(ground["grid_col"].min(), ground["grid_col"].max() + 1)
+    at = (ground["grid_row"] - rows[0], ground["grid_col"] - cols[0])
+
+    def plane(values, empty):
+        grid = np.full((len(rows), len(cols)), empty)
+        grid[at] = values
+        return grid
+
+    fuel = plane(ground["fuel"], rates.shape[1] - 1)
+    elev, slope, aspect = (plane(ground[c].astype(float), np.nan) for c in ("elev", "slope_deg", "aspect_deg"))
+    open_ = plane(~ground["zero_ros"].fillna(False).astype(bool), False)
+    xs, ys = left + (cols + 0.5) * size, top - (rows + 0.5) * size
+    known: dict[int, np.ndarray] = {}
+
+    def heads(k: int) -> np.ndarray:
+        if k not in known:
+            known.clear()
+            known[k] = ros.head_plane(rates[k][fuel], open_, elev, slope, aspect, lines["wd"][k], lines["temp"][k], lines["rh"][k], strength)
+        return known[k]
+
+    def sample(step: int, vertices: np.ndarray):
+        k = held[step - first]
+        head = fronts.bilinear(heads(k), xs, ys, vertices)
+        back = back_share * head
+        return head, back, (head + back) / (2 * length_to_breadth), np.full(len(vertices), np.radians((lines["wd"][k] + 180) % 360))
+
+    stored, ring, spreads = fronts.grow(ring, sample, first, end, dt, least, every, markers, marker_step, scale)
+    return out(fire, [(t, r, False) for t, r in stored] + [(None, ring, spreads)])
+
+
+def summaries(ignitions: DataFrame, rings: DataFrame, latitude: float | None = None) -> DataFrame:
+    """A row for each ignition, with ``area_ha``, ``perimeter_m`` and ``dur_min`` of its last ring; 0 where it has none."""
+    measured = ring_measures(final_rings(rings), ["fire_id", "t_min"], latitude).select(F.col("fire_id").alias("_f"), "area_ha", "perimeter_m", F.col("t_min").alias("dur_min"))
+    return ignitions.join(measured, F.col("fire_id") == F.col("_f"), "left").drop("_f").fillna(0.0, ["area_ha", "perimeter_m", "dur_min"])
 
 
 def final_rings(rings: DataFrame) -> DataFrame:
@@ -156,52 +224,81 @@ def final_rings(rings: DataFrame) -> DataFrame:
     return rings.join(last, (F.col("fire_id") == F.col("_f")) & (F.col("t_min") == F.col("_t"))).drop("_f", "_t")
 
 
-def cells_inside(rings: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+def cells_inside(rings: DataFrame, grid: dict) -> DataFrame:
     """``fire_id``, ``grid_row``, ``grid_col`` of the cells whose centre lies strictly in a ring.
 
-    A ring is sent to the rows of cells that it spans, and each row is cut where its edges cross
-    it, so a cell is only compared with rings in its row.
+    A ring is cut along each row of cells that it spans, and every span between two cuts gives its
+    first and last column: no cell is compared with any ring, and the work is that of the result.
     """
+    left, top, size = grid["left"], grid["top"], grid["size"]
     _, after = _around(["fire_id"])
     edges = rings.withColumns({"_x": after("x"), "_y": after("y")})
     low, high = F.least("y", "_y"), F.greatest("y", "_y")
-    # Row k has its centre at (k + 0.5) * size; an edge crosses it if low <= centre < high.
-    first, last = F.ceil(low / size - 0.5), F.ceil(high / size - 0.5) - 1
+    # The centre of row k is at top - (k + 0.5) * size; an edge crosses it if low <= centre < high.
+    first, last = F.floor((top - high) / size - 0.5) + 1, F.floor((top - low) / size - 0.5)
+    first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(grid["rows"] - 1))
     crossed = edges.withColumns({"_a": first, "_b": last}).where(F.col("_a") <= F.col("_b")).withColumn("_k", F.explode(F.sequence("_a", "_b")))
-    centre = (F.col("_k") + 0.5) * size
-    cut = crossed.select("fire_id", F.col("_k").alias("k"), (F.col("x") + (centre - F.col("y")) / (F.col("_y") - F.col("y")) * (F.col("_x") - F.col("x"))).alias("cx"))
-    rows = grid.select("grid_row", "grid_col", "x", F.round(F.col("y") / size - 0.5).cast("long").alias("k"))
-    order = Window.partitionBy("fire_id", "k").orderBy("cx")
-    spans = cut.withColumns({"_i": F.row_number().over(order), "_end": F.lead("cx").over(order)}).where((F.col("_i") % 2 == 1) & F.col("_end").isNotNull())
-    inside = rows.join(spans.select("fire_id", "k", F.col("cx").alias("_start"), "_end"), "k").where((F.col("x") > F.col("_start")) & (F.col("x") < F.col("_end")))
-    return inside.select("fire_id", "grid_row", "grid_col").distinct()
+    centre = top - (F.col("_k") + 0.5) * size
+    cut_ = crossed.select("fire_id", "_k", (F.col("x") + (centre - F.col("y")) / (F.col("_y") - F.col("y")) * (F.col("_x") - F.col("x"))).alias("_cx"))
+    order = Window.partitionBy("fire_id", "_k").orderBy("_cx")
+    spans = cut_.withColumns({"_i": F.row_number().over(order), "_end": F.lead("_cx").over(order)}).where((F.col("_i") % 2 == 1) & F.col("_end").isNotNull())
+    begin = F.greatest(F.floor((F.col("_cx") - left) / size - 0.5) + 1, F.lit(0))
+    end = F.least(F.ceil((F.col("_end") - left) / size - 0.5) - 1, F.lit(grid["cols"] - 1))
+    wide = spans.withColumns({"_c0": begin, "_c1": end}).where(F.col("_c0") <= F.col("_c1"))
+    return wide.select("fire_id", F.col("_k").cast("int").alias("grid_row"), F.explode(F.sequence(F.col("_c0").cast("int"), F.col("_c1").cast("int"))).alias("grid_col")).distinct()
+
+
+def cells_touched(rings: DataFrame, grid: dict) -> DataFrame:
+    """As ``cells_inside``, with the cells whose squares the ring itself passes."""
+    _, after = _around(["fire_id"])
+    edges = rings.select("fire_id", F.col("x").alias("ax"), F.col("y").alias("ay"), after("x").alias("bx"), after("y").alias("by"))
+    passed = crossed(edges, grid["left"], grid["top"], grid["size"], 0.0).where(F.col("grid_row").between(0, grid["rows"] - 1) & F.col("grid_col").between(0, grid["cols"] - 1))
+    return cells_inside(rings, grid).unionByName(passed.select("fire_id", "grid_row", "grid_col")).distinct()
 
 
-def burn_probability(rings: DataFrame, grid: DataFrame, size: float) -> DataFrame:
+def rasterise(cells: DataFrame, inside: DataFrame, values: DataFrame, value: str, fill: float = 0.0) -> DataFrame:
+    """``cells`` with the ``value`` of the shape (``fire_id``) that holds each, of several the last; ``fill`` outside all."""
+    best = inside.join(values.select("fire_id", value), "fire_id").groupBy("grid_row", "grid_col").agg(F.max_by(value, "fire_id").alias(value))
+    return cells.join(best, ["grid_row", "grid_col"], "left").fillna(fill, [value])
+
+
+def burn_probability(rings: DataFrame, cells: DataFrame, grid: dict) -> DataFrame:
     """Share of the rings that strictly hold each cell's centre."""
     n = rings.select("fire_id").distinct().count()
-    held = cells_inside(rings, grid, size).groupBy("grid_row", "grid_col").agg(F.count("*").alias("_n"))
-    return grid.select("grid_row", "grid_col").join(held, ["grid_row", "grid_col"], "left").select("grid_row", "grid_col", (F.coalesce("_n", F.lit(0)) / float(max(n, 1))).alias("burn_probability"))
+    held = cells_inside(rings, grid).groupBy("grid_row", "grid_col").agg(F.count("*").alias("_n"))
+    return cells.select("grid_row", "grid_col").join(held, ["grid_row", "grid_col"], "left").select("grid_row", "grid_col", (F.coalesce("_n", F.lit(0)) / float(max(n, 1))).alias("burn_probability"))
 
 
 def clip_rings(rings: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Rings cut to a box (west, south, east, north); rings outside it are left out. One ring at a time."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = fronts.clip(pdf.sort_values("vertex_id")[["x", "y"]].to_numpy(), box)
-        return pd.DataFrame({"fire_id": pdf["fire_id"].iloc[0], "vertex_id": np.arange(len(ring), dtype=np.int32), "x": ring[:, 0], "y": ring[:, 1]})
+    """Rings cut to a box (west, south, east, north), one side of it after another; rings outside it are left out.
 
-    kind = dict(rings.dtypes)["fire_id"]
-    return rings.select("fire_id", "vertex_id", "x", "y").groupBy("fire_id").applyInPandas(one, f"fire_id {kind}, vertex_id int, x double, y double")
+    Each vertex within a side stays, and an edge that crosses the side gives the point where it does.
+    """
+    out = rings.select("fire_id", "vertex_id", "x", "y")
+    _, after = _around(["fire_id"])
+    order = Window.partitionBy("fire_id").orderBy("vertex_id", "_half")
+    for axis, bound, sign in (("x", box[0], 1.0), ("y", box[1], 1.0), ("x", box[2], -1.0), ("y", box[3], -1.0)):
+        pairs = out.withColumns({"_x": after("x"), "_y": after("y")})
+        a, b = sign * (F.col(axis) - bound), sign * (F.col(f"_{axis}") - bound)
+        t = a / (a - b)
+        kept = F.struct(F.lit(0).alias("h"), F.col("x").alias("x"), F.col("y").alias("y"))
+        crossing = F.struct(F.lit(1).alias("h"), (F.col("x") + t * (F.col("_x") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("_y") - F.col("y"))).alias("y"))
+        points = F.array_compact(F.array(F.when(a >= 0, kept), F.when((a >= 0) != (b >= 0), crossing)))
+        out = pairs.select("fire_id", "vertex_id", F.explode(points).alias("_p")).select("fire_id", "vertex_id", F.col("_p.h").alias("_half"), "_p.x", "_p.y")
+        out = out.withColumn("vertex_id", F.row_number().over(order) - 1).drop("_half")
+    return out
 
 
 def size_histogram(results: DataFrame, area: str, bins: int = 30) -> DataFrame:
     """Counts of fires by ``bins`` equal intervals of their area (over 0), with mean and median of all."""
     real = results.where((F.col(area) > 0) & ~F.isnan(area))
-    facts = real.agg(F.min(area).alias("_low"), F.max(area).alias("_high"), F.avg(area).alias("mean_area"), F.expr(f"percentile({area}, 0.5)").alias("median_area"))
-    width = (F.col("_high") - F.col("_low")) / bins
-    bin_ = F.least(F.lit(bins - 1), F.floor(F.when(width > 0, (F.col(area) - F.col("_low")) / width).otherwise(0.0))).cast("int")
-    return real.crossJoin(F.broadcast(facts)).groupBy(bin_.alias("bin"), "mean_area", "median_area").agg(F.count("*").alias("n_fires"))
+    facts = real.agg(F.min(area).alias("low"), F.max(area).alias("high"), F.avg(area).alias("mean")).first()
+    low, high, mean = (float("nan") if v is None else float(v) for v in facts)
+    median = exact_quantiles(real, {area: [0.5]})[area][0]
+    width = (high - low) / bins
+    bin_ = F.least(F.lit(bins - 1), F.floor((F.col(area) - low) / width)).cast("int") if width > 0 else F.lit(0)
+    counts = real.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n_fires"))
+    return counts.select("bin", F.lit(mean).alias("mean_area"), F.lit(median).cast("double").alias("median_area"), "n_fires")
 
 
 def thin(rings: DataFrame, every: int) -> DataFrame:
@@ -234,4 +331,5 @@ def rate_statistics(rates: DataFrame, value: str = "head_ros") -> DataFrame:
     """Least, greatest and mean rate over 0, their number, and the 99th percentile of all."""
     v = F.when(~F.isnan(value), F.col(value))
     positive = F.when(v > 0, v)
-    return rates.agg(F.min(positive).alias("least"), F.max(positive).alias("most"), F.avg(positive).alias("mean"), F.count(positive).alias("n"), F.percentile(v, F.lit(0.99)).alias("p99"))
+    high = exact_quantiles(rates, {value: [0.99]})[value][0]
+    return rates.agg(F.min(positive).alias("least"), F.max(positive).alias("most"), F.avg(positive).alias("mean"), F.count(positive).alias("n")).withColumn("p99", F.lit(high).cast("double"))

@@ -462,14 +462,16 @@ def fire_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
           where x + (cy - y) / (y1 - y) * (x1 - x) > cx group by 1, 2, 3 having count(*) % 2 = 1)
     select c.grid_row, c.grid_col, round(coalesce(k, 0) / n, 6) burn_probability from {duck('cells')} c cross join n left join (select grid_row, grid_col, count(*) * 1e0 k from h group by 1, 2) using (grid_row, grid_col)""")
 def burn_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fires.burn_probability(load(spark, sf_dir, "ring"), load(spark, sf_dir, "cells"), SIZE)
+    out = fires.burn_probability(load(spark, sf_dir, "ring"), load(spark, sf_dir, "cells"), grid.bounds(load(spark, sf_dir, "cells")))
     return out.select("grid_row", "grid_col", _r("burn_probability", "burn_probability"))
 
 
 @query(f"""with e as {_NEXT} select fire_id, grid_row, grid_col from (select grid_row, grid_col, x cx, y cy from {duck('cells')}) c join e on (y <= cy and cy < y1) or (y1 <= cy and cy < y)
     where x + (cy - y) / (y1 - y) * (x1 - x) > cx group by 1, 2, 3 having count(*) % 2 = 1""")
 def polygon_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fires.cells_inside(load(spark, sf_dir, "ring"), load(spark, sf_dir, "cells"), SIZE)
+    cells = load(spark, sf_dir, "cells")
+    held = fires.cells_inside(load(spark, sf_dir, "ring"), grid.bounds(cells))
+    return held.join(cells.select("grid_row", "grid_col"), ["grid_row", "grid_col"], "left_semi").select("fire_id", "grid_row", "grid_col")
 
 
 _CLIP = (300.0, -90.0, 900.0, 0.0)
@@ -508,7 +510,7 @@ def front_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     ground = grid.fuel_break(_terrain(spark, sf_dir), _mask(), "zero_ros")
-    return fires.grow_fires(load(spark, sf_dir, "ignitions"), ground, _timeline(spark, 10), 10, {"left": LEFT, "top": TOP, "size": SIZE}, n=60, every=5)
+    return fires.grow_fires(load(spark, sf_dir, "ignitions"), ground, _timeline(spark, 10), 10, grid.bounds(ground), n=60, every=5)
 
 
 @query()

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernbrand.operators.fireweather import canonical
+from fernbrand.operators.fireweather import canonical, with_times
 
 # Names that tell what a weather file holds.
 HOURLY = {"HOURLY_TEMPERATURE", "HOURLY_RELATIVE_HUMIDITY", "HOURLY_WIND_SPEED", "HOURLY_WIND_DIRECTION", "TEMP", "RH", "WS", "WD", "HOUR"}
@@ -29,13 +29,16 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 
 
-def read_weather(spark: SparkSession, weather: str | None, station: str | None = None) -> DataFrame:
-    """The weather table, else the station table, else an empty one."""
+def read_weather(spark: SparkSession, weather: str | None, station: str | None = None, form: str | None = None) -> DataFrame:
+    """The weather table, else the station table, else an empty one: measures and indices as numbers,
+    ``obs_date`` and ``obs_hour`` from whatever columns hold the time (``with_times``), station codes as strings."""
     path = weather or station
     if path is None:
         return spark.createDataFrame([], "station_code string, obs_date date, obs_hour int, temp double, rh double, ws double, wd double, precip double")
     raw = read_csv(spark, path)
-    return raw.withColumns({c: F.col(c).try_cast("double") for c in ("temp", "rh", "ws", "wd", "precip", "ffmc", "dmc", "dc", "isi", "bui", "fwi") if c in raw.columns})
+    numbers = {c: F.col(c).try_cast("double") for c in ("temp", "rh", "ws", "wd", "precip", "ffmc", "dmc", "dc", "isi", "bui", "fwi") if c in raw.columns}
+    codes = {"station_code": F.col("station_code").cast("string")} if "station_code" in raw.columns else {}
+    return with_times(raw.withColumns(numbers | codes), form)
 
 
 def weather_format(columns: list[str]) -> str:
@@ -103,6 +106,25 @@ def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:
     return features.select(x.alias("x"), y.alias("y"), F.col("f.properties").alias("properties"))
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """Points (``x``, ``y`` and what else they have) of a Parquet, CSV, GeoJSON, KML or shape file, by its ending."""
+    name = path.lower().rstrip("/")
+    if name.endswith((".geojson", ".json")):
+        points = read_geojson_points(spark, path)
+        known = {c: F.element_at("properties", c) for c in ("cause", "season")} | {"iteration": F.element_at("properties", "iteration").try_cast("int")}
+        return points.select("x", "y", *[v.alias(c) for c, v in known.items()])
+    if name.endswith(".kml"):
+        return read_kml_points(spark, path)
+    if name.endswith(".shp"):
+        from fernbrand.sources import shapes
+
+        return shapes.points(shapes.read_shapes(spark, path))
+    if name.endswith(".csv"):
+        raw = read_csv(spark, path)
+        return raw.withColumns({c: F.col(c).try_cast(k) for c, k in (("x", "double"), ("y", "double"), ("iteration", "int")) if c in raw.columns})
+    return spark.read.parquet(path)
+
+
 def read_kml_points(spark: SparkSession, path: str) -> DataFrame:
     """``name``, ``x``, ``y`` of the point placemarks of a KML file."""
     marks = spark.read.format("xml").option("rowTag", "Placemark").schema("name string, Point struct<coordinates: string>").load(path)
