@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernbrand.plans import data_queries, reference_queries
+from fernbrand.plans import data_queries, more_queries, reference_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return reference_queries.QUERIES | data_queries.QUERIES
+    return reference_queries.QUERIES | more_queries.QUERIES | data_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference_queries.ORACLES | data_queries.ORACLES
+    return reference_queries.ORACLES | more_queries.ORACLES | data_queries.ORACLES

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from fernbrand.functions.instants import ZONE_MINUTES
-from fernbrand.operators.spikes import LIMITS, ORDINARY_RUNS
+from fernbrand.plans.constants import LIMITS, ORDINARY_RUNS
 
-_ZONES = " ".join(f"when '{z}' then {m * 60}" for z, m in ZONE_MINUTES.items())
+# Hours that zones are ahead of UTC, written out for the SQL alone.
+ZONE_HOURS = {
+    "Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 1, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3, "MSK": 3, "JST": 9, "AEST": 10, "AEDT": 11, "NZST": 12, "NZDT": 13, "NST": -3.5, "NDT": -2.5,
+    "AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10,
+}
+
+_ZONES = " ".join(f"when '{z}' then {int(h * 3600)}" for z, h in ZONE_HOURS.items())
 _ZONE = r"(Z|[A-Z]{3}|[+-]\d{2}:?\d{2})(?:\[[^\]]*\])?$"
 _OPEN = "['%Y-%m-%d %H:%M:%S','%Y-%m-%dT%H:%M:%S','%Y-%m-%d %H:%M','%Y-%m-%d %H','%Y/%m/%d %H:%M','%Y%m%d %H%M','%Y-%j %H%M','%Y-%m-%d %H%M','%d %b %Y %H','%d %b %Y %H:%M','%d-%b-%Y %H:%M','%b %d, %Y %I:%M %p','%a, %d %b %Y %H:%M:%S']"
 _DMY = "['%d/%m/%Y %H','%d/%m/%Y %H:%M','%d/%m/%Y %I %p','%d.%m.%y %Hh%M','%d.%m.%Y %H:%M']"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernbrand.functions import fwi, ros
 from fernbrand.operators import cells as grid
-from fernbrand.operators import fires, fireweather, ignitions
+from fernbrand.operators import climate, fires, fireweather, ignitions
+from fernbrand.plans import constants
 from fernbrand.plans.fixtures import duck, load
 
 QUERIES: dict = {}
@@ -74,12 +77,12 @@ def _sql_ffmc(t: str, h: str, w: str, p: str, f: str) -> str:
 def _sql_dmc(t: str, h: str, p: str, d: str, month: str) -> str:
     b = f"case when {d} <= 33 then 100e0 / (0.5e0 + 0.3e0 * {d}) when {d} <= 65 then 14e0 - 1.3e0 * ln({d}) else 6.2e0 * ln({d}) - 17.2e0 end"
     rain = f"greatest(0e0, 244.72e0 - 43.43e0 * ln(exp(5.6348e0 - {d} / 43.43e0) + 1000e0 * (0.92e0 * {p} - 1.27e0) / (48.77e0 + ({b}) * (0.92e0 * {p} - 1.27e0))))"
-    day = f"(case {month} " + " ".join(f"when {i + 1} then {v}e0" for i, v in enumerate(fwi.DMC_DAY)) + " end)"
+    day = f"(case {month} " + " ".join(f"when {i + 1} then {v}e0" for i, v in enumerate(constants.DMC_DAY)) + " end)"
     return f"(case when {p} > 1.5e0 then {rain} else {d} end + case when {t} > -1.1e0 then 100e0 * 1.894e0 * ({t} + 1.1e0) * (100e0 - {h}) * {day} * 1e-6 else 0e0 end)"
 
 
 def _sql_dc(t: str, p: str, d: str, month: str) -> str:
-    day = f"(case {month} " + " ".join(f"when {i + 1} then {v}e0" for i, v in enumerate(fwi.DC_DAY)) + " end)"
+    day = f"(case {month} " + " ".join(f"when {i + 1} then {v}e0" for i, v in enumerate(constants.DC_DAY)) + " end)"
     rain = f"greatest(0e0, 400e0 * ln(800e0 / (800e0 * exp(-{d} / 400e0) + 3.937e0 * (0.83e0 * {p} - 1.27e0))))"
     return f"(case when {p} > 2.8e0 then {rain} else {d} end + 0.5e0 * case when {t} > -2.8e0 then greatest(0e0, 0.36e0 * ({t} + 2.8e0) + {day}) else 0e0 end)"
 
@@ -94,16 +97,20 @@ def fwi_codes_step(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _r(fwi.dc_step(t, p, F.col("event_id") % 400 * 1.0, month), "dc"))
 
 
+_INDICES = f"""select {{keys}}, round(ffmc, 4) ffmc, round(dmc, 4) dmc, round(dc, 4) dc, round(isi, 4) isi, round(bui, 4) bui, round(fwi, 4) fwi, round(0.0272e0 * power(fwi, 1.77e0), 4) dsr
+    from (select *, {_FWI} fwi from (select *, 0.1e0 * isi * ({_FD}) b from (select *, {_ISI.format(m=_MO.format(f='ffmc'), w='ws')} isi, {_BUI.replace('case when p = 0 and c = 0', 'case when dmc = 0 and dc = 0').replace(' p ', ' dmc ').replace(' c ', ' dc ').replace('* c', '* dc').replace('* p', '* dmc').replace('else p', 'else dmc').replace('(p ', '(dmc ')} bui from ({{r}}))))"""
+
+
 @query(f"""with recursive d as (select *, row_number() over (partition by station_code order by obs_date) i from {duck('daily')}),
     r as (select d.station_code, d.obs_date, d.i, {_sql_ffmc('d.temp', 'd.rh', 'd.ws', 'd.precip', '85e0')} ffmc,
             {_sql_dmc('d.temp', 'd.rh', 'd.precip', '6e0', 'month(d.obs_date)')} dmc, {_sql_dc('d.temp', 'd.precip', '15e0', 'month(d.obs_date)')} dc from d where i = 1
           union all select d.station_code, d.obs_date, d.i, {_sql_ffmc('d.temp', 'd.rh', 'd.ws', 'd.precip', 'r.ffmc')},
             {_sql_dmc('d.temp', 'd.rh', 'd.precip', 'r.dmc', 'month(d.obs_date)')}, {_sql_dc('d.temp', 'd.precip', 'r.dc', 'month(d.obs_date)')}
           from r join d on d.station_code = r.station_code and d.i = r.i + 1)
-    select station_code, obs_date, round(ffmc, 4) ffmc, round(dmc, 4) dmc, round(dc, 4) dc from r""")
+    {_INDICES.format(r='select r.*, ws from r join d using (station_code, obs_date)', keys='station_code, obs_date')}""")
 def fwi_daily_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = fireweather.recurrence(load(spark, sf_dir, "daily"), ["station_code"])
-    return days.select("station_code", "obs_date", _r("ffmc", "ffmc", 4), _r("dmc", "dmc", 4), _r("dc", "dc", 4))
+    return days.select("station_code", "obs_date", *[_r(c, c, 4) for c in fireweather.CODES])
 
 
 # --- weather --------------------------------------------------------------------------------
@@ -153,30 +160,36 @@ def weather_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fireweather.representative(_classed(spark, sf_dir)).select(*[_r(c, c) for c in ("temp", "rh", "ws", "wd", "isi")])
 
 
-_FIRST = "2024-01-05 00:00:00"
 _SECOND = "cast(floor(epoch(ts)) as bigint)"
-_STEPS = 200
+_SPAN = f"(select min({_SECOND}) // 1800 * 1800 lo, max({_SECOND}) hi from {duck('obs')})"
 
 
 @query(f"""with o as (select station_code, {_SECOND} s, max({{'t': temp, 'h': rh, 'd': wd}}) v from {duck('obs')} group by 1, 2),
     p as (select *, lead(s) over w s1, lead(v) over w v1, row_number() over w i from o window w as (partition by station_code order by s)),
-    k as (select range::int step, 1704412800 + range * 1800 at_second from range({_STEPS})),
+    k as (select step::int step, lo + step * 1800 at_second from (select lo, unnest(range((hi - lo) // 1800 + 2)) step from {_SPAN})),
     j as (select station_code, step, at_second, v, coalesce(v1, v) v1, case when s1 is null or at_second <= s then 0e0 else (at_second - s) * 1e0 / (s1 - s) end w
           from p join k on (at_second > s or i = 1) and (s1 is null or at_second <= s1)),
     a as (select *, degrees(atan2(sin(radians(v.d)) * (1 - w) + sin(radians(v1.d)) * w, cos(radians(v.d)) * (1 - w) + cos(radians(v1.d)) * w)) d from j)
     select station_code, step, at_second, round(v.t * (1 - w) + v1.t * w, 6) temp, round(v.h * (1 - w) + v1.h * w, 6) rh, round(case when d < 0 then d + 360e0 else d end, 5) wd from a""")
 def weather_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = load(spark, sf_dir, "obs").withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp")))
-    out = fireweather.interpolate(obs, ["station_code"], "second", ["temp", "rh"], ["wd"], 1704412800, 1800, _STEPS)
+    span = obs.agg(F.min("second").alias("lo"), F.max("second").alias("hi")).first()
+    first, last = (span["lo"] or 0) // 1800 * 1800, span["hi"] or 0
+    out = fireweather.interpolate(obs, ["station_code"], "second", ["temp", "rh"], ["wd"], first, 1800, (last - first) // 1800 + 2)
     return out.select("station_code", "step", F.col("second").cast("long").alias("at_second"), _r("temp", "temp"), _r("rh", "rh"), _r("wd", "wd", 5))
 
 
-@query()
+_UNIFORM = "((('0x' || substr(md5({key}), 1, 12))::bigint + 0.5e0) / 281474976710656e0)"
+# Poisson of mean 3.76 by inversion: a step for each cumulative share that the number is above.
+_POISSON = "(1 + " + " + ".join(f"(u > {sum(2.718281828459045**-3.76 * 3.76**j / math.factorial(j) for j in range(k + 1))!r}e0)::int" for k in range(1, 60)) + ")"
+
+
+@query(f"select event_id, {_POISSON} event_days from (select event_id, {_UNIFORM.format(key="'0:' || event_id")} u from {duck('obs')})")
 def spread_event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fireweather.spread_event_days(load(spark, sf_dir, "obs"), F.col("event_id")).select("event_id", "event_days")
 
 
-@query()
+@query(f"select event_id, station_code from {duck('obs')} order by {_UNIFORM.format(key="'0:' || event_id")}, event_id limit 500")
 def weather_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fireweather.sample_rows(load(spark, sf_dir, "obs"), 500, F.col("event_id")).select("event_id", "station_code")
 
@@ -189,7 +202,7 @@ def _sql_ros(fuel: str, isi: str = "isi", bui: str = "bui", curing: str = "85e0"
         leafy = f"{1 if fuel in ('M-1', 'M-3') else 0.2}e0 * {_sql_ros('D-1', isi, bui)}"
         other = _sql_ros("C-2", isi, bui) if fuel < "M-3" else f"120e0 * power(1e0 - exp(-0.0572e0 * {isi}), 1.4e0)"
         return f"({share} * {other} + (1e0 - {share}) * {leafy})"
-    a, b, c, start, q, p, k1, k2 = ros.CURVES[fuel]
+    a, b, c, start, q, p, k1, k2 = constants.CURVES[fuel]
     rate = f"{a}e0 * power(1e0 - exp(-{b}e0 * {isi}), {c}e0)"
     if start is None:
         grass = f"least(1e0, greatest(0e0, case when {curing} < 58.8e0 then 0.005e0 * (exp(0.061e0 * {curing}) - 1e0) else 0.176e0 + 0.02e0 * ({curing} - 58.8e0) end))"
@@ -204,7 +217,7 @@ def _sql_ros(fuel: str, isi: str = "isi", bui: str = "bui", curing: str = "85e0"
 _WEATHER = "select event_id, isi, (event_id % 120) * 1e0 bui from " + duck("obs")
 
 
-@query(" union all ".join(f"select event_id, '{f}' fuel, round({_sql_ros(f)}, 6) head_ros from ({_WEATHER})" for f in ros.FUELS))
+@query(" union all ".join(f"select event_id, '{f}' fuel, round({_sql_ros(f)}, 6) head_ros from ({_WEATHER})" for f in constants.FUELS))
 def ros_all_fuels(spark: SparkSession, sf_dir: str) -> DataFrame:
     weather = load(spark, sf_dir, "obs").select("event_id", "isi", (F.col("event_id") % 120 * 1.0).alias("bui"))
     return grid.fuel_rates(weather).select("event_id", "fuel", _r("head_ros", "head_ros"))
@@ -229,7 +242,7 @@ def ros_mixedwood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "obs").select("event_id", *[_r(rate(f), f.lower().replace("-", "")) for f in ("M-1", "M-2", "M-3", "M-4")])
 
 
-_BY_FUEL = "case fuel_id " + " ".join(f"when {code} then {_sql_ros(f, '10e0', '80e0')}" for code, f in ros.FUEL_CODES.items()) + " else 0e0 end"
+_BY_FUEL = "case fuel_id " + " ".join(f"when {code} then {_sql_ros(f, '10e0', '80e0')}" for code, f in constants.FUEL_CODES.items()) + " else 0e0 end"
 
 
 @query(f"select grid_row, grid_col, round({_BY_FUEL}, 6) head_ros from {duck('cells')}")
@@ -318,7 +331,7 @@ def _cube(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
     return grid.spread_grid(cells, _timeline(spark, steps))
 
 
-_CUBE_HEAD = f"case when {_BREAK} then 0e0 else (case fuel_id " + " ".join(f"when {code} then {_sql_ros(f, 'isi', 'bui')}" for code, f in ros.FUEL_CODES.items()) + f" else 0e0 end) * {_SF.format(s=_RAWSF.format(wd='wd'))} end * {_EF.format(t='temp', h='rh')}"
+_CUBE_HEAD = f"case when {_BREAK} then 0e0 else (case fuel_id " + " ".join(f"when {code} then {_sql_ros(f, 'isi', 'bui')}" for code, f in constants.FUEL_CODES.items()) + f" else 0e0 end) * {_SF.format(s=_RAWSF.format(wd='wd'))} end * {_EF.format(t='temp', h='rh')}"
 
 
 @query(f"""select grid_row, grid_col, step, round(h, 6) head_ros, round(0.2e0 * h, 6) back_ros, round(0.3e0 * h, 6) flank_ros, round((wd + 180e0) % 360e0, 6) azimuth from (
@@ -371,10 +384,30 @@ def ignition_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignitions.normalised(_probable(spark, sf_dir), []).select("grid_row", "grid_col", _r("p", "p", 9))
 
 
-@query()
+_SHARES = {1: 0.2, 2: 0.3, 3: 0.3, 4: 0.2}
+
+
+def _sql_draws(cells: str, iterations: int, p: str) -> str:
+    """Ignitions drawn with the weights ``p``: points on the line of all weights, the first different cells of each iteration."""
+    n = "case when u < 0.2e0 then 1 when u < 0.5e0 then 2 when u < 0.8e0 then 3 else 4 end"
+    return f"""with c as (select *, {p} w from {cells}), k as (select *, sum(w) over (order by grid_row, grid_col) upto from c where w > 0),
+        i as (select iteration, {n} n from (select range::int iteration, {_UNIFORM.format(key="'0:n:' || range")} u from range({iterations}))),
+        d as (select iteration, n, j, {_UNIFORM.format(key="'0:at:' || iteration || ':' || j")} * (select max(upto) from k) at_ from i, (select unnest(range(32)) j)),
+        h as (select iteration, n, j, grid_row, grid_col, x, y from d join k on at_ >= upto - w and at_ < upto),
+        f as (select iteration, n, grid_row, grid_col, x, y, min(j) j from h group by all),
+        r as (select *, row_number() over (partition by iteration order by j) fire_no from f)"""
+
+
+@query(f"{_sql_draws(_P, 10, 'p')} select iteration, fire_no::int fire_no, grid_row, grid_col, x, y from r where fire_no <= n")
 def ignition_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = ignitions.fires_per_iteration(10, {1: 0.2, 2: 0.3, 3: 0.3, 4: 0.2}, spark)
-    return ignitions.sample_ignitions(_probable(spark, sf_dir), draws)
+    return ignitions.sample_ignitions(_probable(spark, sf_dir), ignitions.fires_per_iteration(10, _SHARES, spark))
+
+
+@query(f"""{_sql_draws(_P, 50, 'case when fuel_id in (2, 3) or eco_id is null or p <= 0 then 0e0 else p end')} select iteration * 4 + fire_no - 1 fire_id, iteration, x, y, 'Human' cause, 'Summer' season from r where fire_no <= n""")
+def ignition_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([(2, "Human", "Summer"), (3, "human", None)], "fuel_id int, cause string, season string")
+    even = spark.createDataFrame([(-1, 1.0, 1.0)], "eco_id int, e_rate double, f_rate double")
+    return ignitions.monte_carlo(_probable(spark, sf_dir).drop("cause", "season"), 50, _SHARES, "Human", "Summer", rules, even)
 
 
 @query(f"select distinct iteration from {duck('ignitions')}")
@@ -477,7 +510,22 @@ def polygon_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLIP = (300.0, -90.0, 900.0, 0.0)
 
 
-@query()
+def _sql_clip(rings: str, box: tuple[float, float, float, float]) -> str:
+    """Area of rings cut to a box, side after side, in SQL."""
+    ctes, at = [f"c0 as (select fire_id, vertex_id v, x, y from {rings})"], 0
+    for axis, bound, sign in (("x", box[0], 1), ("y", box[1], 1), ("x", box[2], -1), ("y", box[3], -1)):
+        a, b = f"({sign}e0 * ({axis} - {bound}e0))", f"({sign}e0 * (n{axis} - {bound}e0))"
+        nexts = ", ".join(f"coalesce(lead({c}) over w, first_value({c}) over (partition by fire_id order by v rows between unbounded preceding and unbounded following)) n{c}" for c in "xy")
+        ctes.append(f"""p{at} as (select *, {nexts} from c{at} window w as (partition by fire_id order by v)),
+            c{at + 1} as (select fire_id, row_number() over (partition by fire_id order by v, h) - 1 v, x, y from (
+                select fire_id, v, 0 h, x, y from p{at} where {a} >= 0 union all
+                select fire_id, v, 1 h, x + {a} / ({a} - {b}) * (nx - x) x, y + {a} / ({a} - {b}) * (ny - y) y from p{at} where ({a} >= 0) <> ({b} >= 0)))""")
+        at += 1
+    last = f"(select *, coalesce(lead(x) over w, first_value(x) over (partition by fire_id order by v rows between unbounded preceding and unbounded following)) nx, coalesce(lead(y) over w, first_value(y) over (partition by fire_id order by v rows between unbounded preceding and unbounded following)) ny from c{at} window w as (partition by fire_id order by v))"
+    return f"with {', '.join(ctes)} select fire_id, round(abs(sum(x * ny - nx * y)) / 2 / 1e4, 6) area_ha from {last} group by 1"
+
+
+@query(_sql_clip(duck("ring"), _CLIP))
 def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fires.ring_measures(fires.clip_rings(load(spark, sf_dir, "ring"), _CLIP), ["fire_id"]).select("fire_id", _r("area_ha", "area_ha"))
 
@@ -529,17 +577,13 @@ def fire_history_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select lat, lon, (case when lat >= 0 then 'N' else 'S' end) || lpad(abs(lat)::varchar, 2, '0') || (case when lon >= 0 then 'E' else 'W' end) || lpad(abs(lon)::varchar, 3, '0') tile from (select unnest(range(48, 55, 3))::int lat), (select unnest(range(-120, -110, 3))::int lon)")
 def tile_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the three-degree tiles that cover a box."""
-    lat, lon = F.col("lat"), F.col("lon")
-    tiles = spark.range(1).select(F.explode(F.sequence(F.lit(48), F.lit(54), F.lit(3))).alias("lat")).withColumn("lon", F.explode(F.sequence(F.lit(-120), F.lit(-111), F.lit(3))))
-    name = F.concat(F.when(lat >= 0, "N").otherwise("S"), F.lpad(F.abs(lat).cast("string"), 2, "0"), F.when(lon >= 0, "E").otherwise("W"), F.lpad(F.abs(lon).cast("string"), 3, "0"))
-    return tiles.select("lat", "lon", name.alias("tile"))
+    return climate.tile_names(spark, (-119.5, 48.2, -110.5, 55.0)).withColumns({"lat": F.col("lat").cast("int"), "lon": F.col("lon").cast("int")})
 
 
 @query("select d::date first_day, least(d + interval 9 day, timestamp '2020-10-01')::date last_day from (select unnest(range(timestamp '2020-05-01', timestamp '2020-10-02', interval 10 day)) d)")
 def date_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of ten days that cover a season, as a download takes them."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2020-05-01").cast("date"), F.lit("2020-10-01").cast("date"), F.expr("interval 10 days"))).alias("first_day"))
-    return days.select("first_day", F.least(F.date_add("first_day", 9), F.lit("2020-10-01").cast("date")).alias("last_day"))
+    return climate.date_spans(spark, "2020-05-01", "2020-10-01")
 
 
 @query("select station_code, latitude, longitude from station where longitude - 0.5e0 < -60 and longitude + 0.5e0 > -120 and latitude - 0.5e0 < 60 and latitude + 0.5e0 > 50")

@@ -167,3 +167,70 @@ def test_configuration():
         config.parse({"weather": {"high": 20, "extreme": 10}})
     made, unknown = config.parse({"breaks": {"path": "./x", "odd": 1}, "fuel": {"lookup": {1: "C-2"}}}, "/a")
     assert made.breaks[0].path == "/a/x" and unknown == ["breaks[0].odd"] and made.fuel.lookup == {1: "C-2"}
+
+
+def test_maps(spark, tmp_path):
+    from fernbrand.functions import projections
+    from fernbrand.operators import climate
+
+    at = lambda epsg: spark.range(1).select(*[c.alias(n) for n, c in zip("xy", projections.project(F.lit(-123.0), F.lit(49.0), epsg))]).first()
+    assert tuple(at(3005)) == pytest.approx((1219731.77, 447290.50), abs=0.01) and tuple(at(3857)) == pytest.approx((-13692297.37, 6274861.39), abs=0.01)
+    assert at(32610)["x"] == pytest.approx(500000) and at(3978)["x"] < 0 and projections.utm_zone(-123.0) == 10 and projections.utm_zone(179.9) == 60
+    with pytest.raises(ValueError):
+        projections.project(F.lit(0.0), F.lit(0.0), 1)
+    assert climate.in_region("USA", (-120.0, 45.0, -119.0, 46.0)) and not climate.in_region("Canada", (0.0, 0.0, 1.0, 1.0))
+    spots = {"features": [{"geometry": {"coordinates": [-115.5, 51.0]}, "properties": {"agency": "ab"}}, {"geometry": {"coordinates": [10.0, 51.0]}, "properties": {}}, {"geometry": None, "properties": None}]}
+    (tmp_path / "h.json").write_text(json.dumps(spots))
+    assert [(r["lon"], r["properties"]["agency"]) for r in climate.read_hotspots(spark, str(tmp_path / "h.json"), (-120.0, 50.0, -110.0, 52.0)).collect()] == [(-115.5, "ab")]
+    (tmp_path / "f.json").write_text(json.dumps({"latitude": 51.0, "longitude": -115.0, "hourly": {"time": ["2024-07-01T00:00", "2024-07-01T01:00"], "temperature_2m": [10.5, 11.0], "precipitation": [0.0, 0.2], "wind_speed_10m": [5.0, 6.0]}}))
+    hours = climate.read_forecast(spark, str(tmp_path / "f.json")).orderBy("ts").collect()
+    assert [(r["temp"], r["rh"], r["ts"].hour) for r in hours] == [(10.5, None, 0), (11.0, None, 1)]
+    tiles = spark.createDataFrame([(0, 0, 5.0, 5.0, 1, None), (0, 0, 5.0, 5.0, 2, 7.0), (0, 1, 15.0, 5.0, 1, 3.0), (0, 1, 15.0, 5.0, 2, 4.0), (9, 9, 500.0, 5.0, 1, 1.0), (1, 1, 15.0, 9.0, 1, float("nan"))], "grid_row int, grid_col int, x double, y double, tile int, v double")
+    assert {(r["grid_row"], r["grid_col"]): r["v"] for r in climate.mosaic(tiles, "v", box=(0, 0, 100, 100)).collect()} == {(0, 0): 7.0, (0, 1): 3.0, (1, 1): None}
+
+
+def test_points_in_regions(spark):
+    from fernbrand.operators import regions
+
+    rng = np.random.default_rng(4)
+    outlines = {}
+    for r in range(12):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        far = rng.uniform(2, 12, 9)
+        outlines[r] = np.stack([rng.uniform(0, 60) + far * np.cos(turn), rng.uniform(0, 60) + far * np.sin(turn)], 1)
+    vertices = spark.createDataFrame([(r, i, *map(float, p)) for r, v in outlines.items() for i, p in enumerate(v)] + [(99, 0, 1.0, 1.0), (99, 1, 2.0, 2.0)], "region_id int, vertex_id int, x double, y double")
+    places = [(i, *map(float, rng.uniform(-5, 70, 2))) for i in range(600)]
+    points = spark.createDataFrame(places + [places[3], (700, None, 1.0), (701, float("nan"), 1.0), (702, float("inf"), 1.0)], "point_id int, x double, y double").withColumn("xs", F.lit("clash"))
+
+    def held(x, y, v):
+        after = np.roll(v, -1, 0)
+        spans = (v[:, 1] > y) != (after[:, 1] > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (spans & (x < v[:, 0] + (y - v[:, 1]) / (after[:, 1] - v[:, 1]) * (after[:, 0] - v[:, 0]))).sum() % 2 == 1
+
+    want = {(i, r) for i, x, y in places for r, v in outlines.items() if held(x, y, v)}
+    shapes_ = regions.outlines(vertices)
+    for cell in (3.0, 20.0):
+        rows = [tuple(r) for r in regions.points_in_regions(points, shapes_, cell).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 50
+    many = regions.broadcast_if_small
+    try:
+        regions.broadcast_if_small = lambda df, n: df
+        assert {tuple(r) for r in regions.points_in_regions(points, shapes_, 5.0).collect()} == want
+    finally:
+        regions.broadcast_if_small = many
+    owner = {r["point_id"]: r["region_id"] for r in regions.owners(regions.points_in_regions(points, shapes_, 5.0)).collect()}
+    assert owner == {p: min(r for q, r in want if q == p) for p, _ in want}
+    square = spark.createDataFrame([(r, i, x, y) for r, left in ((1, 0.0), (2, 10.0)) for i, (x, y) in enumerate([(left, 0.0), (left + 10, 0.0), (left + 10, 10.0), (left, 10.0)])], "region_id int, vertex_id int, x double, y double")
+    shared = spark.createDataFrame([(1, 10.0, 5.0), (2, 5.0, 5.0)], "point_id int, x double, y double")
+    assert {tuple(r) for r in regions.points_in_regions(shared, regions.outlines(square), 10.0).collect()} == {(1, 2), (2, 1)}
+    assert regions.points_in_regions(points.limit(0), shapes_, 5.0).count() == 0 and regions.points_in_regions(points, shapes_.limit(0), 5.0).count() == 0
+
+
+def test_formulas_in_sql(spark):
+    from fernbrand.functions import fwi, sql
+
+    assert "fwi_isi" in sql.register(spark)
+    got = spark.sql("select fwi_isi(85, 10) a, fwi_bui(0, 0) b, fwi_dmc(20D, 40D, 3D, 30D, 7) c, fwi_dc(20D, 3D, 300D, 7) d, fwi_ffmc(20D, 40D, 10D, 1D, 85D) e, ros_head('NF', 10D, 80D) f, ros_head('c-2', 10D, 80D) g").first()
+    assert tuple(got)[:5] == pytest.approx((fwi.isi(85, 10, fwi.PLAIN), 0.0, fwi.dmc_step(20, 40, 3, 30, 7, m=fwi.PLAIN), fwi.dc_step(20, 3, 300, 7, fwi.PLAIN), fwi.ffmc_step(20, 40, 10, 1, 85, fwi.PLAIN)))
+    assert got["f"] is None and got["g"] > 0
