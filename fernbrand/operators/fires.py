@@ -73,7 +73,7 @@ def turning(points: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
 #: Steps times fuels whose rates the driver holds and sends to the tasks at once.
 MOST_RATES = 2_000_000
 #: Steps that a task goes before it is given the cells around the front anew.
-SLAB = 60
+SLAB = 120
 STATE = "fire_id bigint, step int, spreads boolean, xs array<double>, ys array<double>, t_min double"
 
 

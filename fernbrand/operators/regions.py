@@ -46,8 +46,8 @@ def outlines(vertices: DataFrame, region: str = "region_id") -> DataFrame:
 def points_in_regions(points: DataFrame, regions: DataFrame, cell: float, point: str = "point_id", region: str = "region_id") -> DataFrame:
     """``point``, ``region`` of every point (``x``, ``y``) in a region (``xs``, ``ys``: its outline in order); distinct.
 
-    A point on an edge belongs to the region below or left of it, so regions that share an edge
-    share no point. Points without coordinates are in none; regions of fewer than three vertices
+    A point on an edge belongs to the region on one side of it only, so regions that share an
+    edge share no point. Points without coordinates are in none; regions of fewer than three vertices
     hold none. ``cell``: side of the cells, best about that of a region.
     """
     at = lambda c: F.floor(F.col(c) / cell)

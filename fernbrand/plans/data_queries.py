@@ -37,6 +37,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where(F.col("common_value").isNotNull() & other).select("obs_id", "field_name", F.round(F.col("common_value") * 1000).cast("long").alias("common_milli"))
 
 
+def p4_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without a unit anywhere: the unit that the mixture of their feed finds likeliest, its posterior, and whether it is uncertain."""
+    remarks = _read(spark, sf_dir, "weather_feed", "feed_id", "remarks")
+    weather = _read(spark, sf_dir, "weather", "obs_id", "feed_id", *FIELDS, "unit_note")
+    values = units.convert_units(weather, ["obs_id"], FIELDS, "feed_id", "unit_note", remarks, missing="posterior").where("unit_from = 'none'")
+    return values.select("obs_id", "field_name", "unit", F.round("common_value", 6).alias("common_value"), F.round("unit_posterior", 6).alias("unit_posterior"), "unit_uncertain")
+
+
 LOGGER = ["station_code", "logger_id"]
 
 
@@ -97,7 +105,7 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found,
+    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_missing": p4_missing, "p5_found": p5_found, "p6_found": p6_found,
     "p6_scores": p6_scores,
 }
 

@@ -55,6 +55,13 @@ def _remove_written() -> None:
             pass
 
 
+def release() -> None:
+    """Removes the scratch tables written so far. What was made from them can't be read any more, so
+    a long session calls this between jobs, after results are written."""
+    _remove_written()
+    _WRITTEN.clear()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it from there.
 

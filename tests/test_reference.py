@@ -310,6 +310,21 @@ def test_streams_equal_batch(spark, tmp_path):
     assert len(got) == 12 and np.allclose(got["fwi"], want["fwi"]) and np.allclose(got["dc"], want["dc"])
 
 
+def test_days_out_of_order_wait_for_the_watermark(spark, tmp_path):
+    dates = pd.date_range("2024-05-01", periods=9)
+    rows = [("a", d.date(), 20.0 + i, 40.0, 10.0, float(i % 4 * 2)) for i, d in enumerate(dates)]
+    schema = "station_code string, obs_date date, temp double, rh double, ws double, precip double"
+    for k, part in enumerate(([0, 2], [1, 3], [5, 4], [6, 8, 7])):
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = moisture.moisture_codes(stream, late="2 days").writeStream.format("memory").queryName("waited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("waited").orderBy("obs_date").toPandas()
+    want = fireweather.recurrence(spark.createDataFrame(rows, schema), ["station_code"]).orderBy("obs_date").toPandas()
+    assert 5 <= len(got) < 9 and np.allclose(got["fwi"], want["fwi"][: len(got)]) and list(got["obs_date"]) == list(want["obs_date"][: len(got)])
+
+
 def test_rain_stream(spark, tmp_path):
     from datetime import datetime
 
