@@ -25,8 +25,8 @@ ZONE_MINUTES = {
 }
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-STATUS = ("resolved", "unreadable", "undecided", "nonexistent", "twice", "no_zone")
-RESOLVED, UNREADABLE, UNDECIDED, NONEXISTENT, TWICE, NO_ZONE = range(6)
+STATUS = ("resolved", "unreadable", "undecided", "nonexistent", "twice", "no_zone", "other_order", "too_long")
+RESOLVED, UNREADABLE, UNDECIDED, NONEXISTENT, TWICE, NO_ZONE, OTHER_ORDER, TOO_LONG = range(8)
 
 #: Bytes of the longest text that any form allows; what is longer is of no form.
 LONGEST = 80
@@ -251,6 +251,8 @@ def instants(
     second, status = np.zeros(n, np.int64), np.full(n, UNREADABLE)
     local = day * 86400 + p.secs
     status[readable] = RESOLVED
+    status[unused & p.has_secs & (~p.zoned | p.has_offset)] = OTHER_ORDER
+    status[pc.greater(pc.binary_length(texts), LONGEST).fill_null(False).to_numpy(zero_copy_only=False)] = TOO_LONG
     clock = clocks.fill_null("wall").dictionary_encode()
     names = np.array(clock.dictionary.to_pylist() or [""], object)
     kind = names[clock.indices.to_numpy(zero_copy_only=False)]

@@ -97,7 +97,8 @@ def resolve_times(
     the wall clock of ``zone_col`` (an IANA name; other names count as missing).
 
     Status: ``resolved``; ``unreadable`` (null, empty, no known form, no such day or hour, no
-    hour, an order of day and month that the source doesn't use); ``undecided`` (both orders stay
+    hour); ``too_long`` (longer than any form); ``other_order`` (readable only in an order of day and month
+    that under ``MIN_SHARE`` of the source's dates have); ``undecided`` (both orders stay
     possible: posterior under ``MIN_POSTERIOR``); ``nonexistent`` and ``twice`` (wall-clock times
     skipped or repeated); ``no_zone``. ``utc_second`` is null unless resolved.
     ``time_posterior`` is that of the chosen order, 1 where the form has one order.

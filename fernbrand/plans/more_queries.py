@@ -328,6 +328,58 @@ def run_off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select("fire_id", (F.col("area_ha") == 0).alias("is_off"), "dur_min")
 
 
+def _sql_growth(steps: int, n: int) -> str:
+    """Rings of fires on even ground after each of some steps, a step after another, in SQL."""
+    rate = f"{rq._sql_ros('C-2', '(8e0 + {t})', '(60e0 + {t} * 5)')} * {rq._EF.format(t='(20e0 + {t})', h='(40e0 - {t})').replace('elev', '1000e0')}"
+    ctes = [f"""r0 as (select fire_id, i::int vertex_id, x + 0.5e0 * cos(2e0 * pi() * i / {n}e0) x, y + 0.5e0 * sin(2e0 * pi() * i / {n}e0) y
+        from (select *, unnest(range({n})) i from {duck('ignitions')}))"""]
+    for t in range(steps):
+        around = rq._AROUND.format(c="y", t=rq._AROUND.format(c="x", t=f"r{t}"))
+        h = f"({rate.format(t=t)})"
+        ctes.append(f"""n{t} as {around}, t{t} as (select *, (x1 - x0) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) xs, (y1 - y0) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) ys from n{t}),
+        v{t} as (select *, {h} h, radians(({t * 40}e0 + 180) % 360) z from t{t}),
+        u{t} as (select *, 0.6e0 * h a, 0.4e0 * h c, 0.3e0 * h f, xs * cos(z) - ys * sin(z) u, xs * sin(z) + ys * cos(z) v from v{t}),
+        m{t} as (select *, (f * f * cos(z) * v - a * a * sin(z) * u) / sqrt(a * a * u * u + f * f * v * v) + c * sin(z) vx, (-f * f * sin(z) * v - a * a * cos(z) * u) / sqrt(a * a * u * u + f * f * v * v) + c * cos(z) vy from u{t}),
+        w{t} as (select p.fire_id, p.vertex_id, sum(case when e.y <= p.y - p.xs and e.y1 > p.y - p.xs and (e.x1 - e.x) * (p.y - p.xs - e.y) - (p.x + p.ys - e.x) * (e.y1 - e.y) > 0 then 1
+                when e.y > p.y - p.xs and e.y1 <= p.y - p.xs and (e.x1 - e.x) * (p.y - p.xs - e.y) - (p.x + p.ys - e.x) * (e.y1 - e.y) < 0 then -1 else 0 end) k
+            from t{t} p join n{t} e using (fire_id) group by 1, 2),
+        r{t + 1} as (select fire_id, vertex_id, x + case when k = 0 then vx else 0e0 end x, y + case when k = 0 then vy else 0e0 end y from m{t} join w{t} using (fire_id, vertex_id))""")
+    measured = " union all ".join(
+        f"select fire_id, {t}e0 t_min, abs(sum(x * y1 - x1 * y)) / 2 / 1e4 area_ha, sum(sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y))) perimeter_m from {rq._AROUND.format(c='y', t=rq._AROUND.format(c='x', t=f'r{t}'))} group by 1"
+        for t in range(steps + 1)
+    )
+    return f"with {', '.join(ctes)} select fire_id, t_min, round(area_ha, 5) area_ha, round(perimeter_m, 3) perimeter_m from ({measured})"
+
+
+@query(_sql_growth(5, 24))
+def fire_growth_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth on even ground, where the rates are those of the weather alone, each step of it."""
+    cells = load(spark, sf_dir, "cells")
+    ground = cells.select("grid_row", "grid_col", "x", "y", F.lit(1000.0).alias("elev"), F.lit(2).alias("fuel_id"), F.lit(0.0).alias("slope_deg"), F.lit(None).cast("double").alias("aspect_deg"), F.lit(False).alias("zero_ros"))
+    rings = fires.grow_fires(load(spark, sf_dir, "ignitions"), ground, rq._timeline(spark, 5), 5, grid.bounds(cells), n=24, every=1, slab=2)
+    return fires.ring_measures(rings, ["fire_id", "t_min"]).select("fire_id", "t_min", _r("area_ha", "area_ha", 5), _r("perimeter_m", "perimeter_m", 3))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rings a fire, one for fires of an odd number."""
+    return load(spark, sf_dir, "ring").withColumn("t_min", F.explode(F.sequence(F.lit(0), F.when(F.col("fire_id") % 2 == 0, 9).otherwise(0)))).withColumn("t_min", F.col("t_min") * 10.0)
+
+
+_TIMES = f"(select *, unnest(range(case when fire_id % 2 = 0 then 10 else 1 end)) i from {duck('ring')})"
+
+
+@query(f"select fire_id, i * 10e0 t_min, count(*) n_vertices from {_TIMES} where i % 4 = 0 or i = case when fire_id % 2 = 0 then 9 else 0 end group by 1, 2")
+def history_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth ring of a fire and its last."""
+    return fires.thin(_history(spark, sf_dir), 4).groupBy("fire_id", "t_min").agg(F.count("*").alias("n_vertices"))
+
+
+@query(f"select fire_id, case when fire_id % 2 = 0 then 90e0 else 0e0 end t_min, count(*) n_vertices from {duck('ring')} group by 1")
+def history_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ring of each fire."""
+    return fires.final_rings(_history(spark, sf_dir)).groupBy("fire_id", "t_min").agg(F.count("*").alias("n_vertices"))
+
+
 @query()
 def fire_growth_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth at its usual size: 300 vertices, 480 steps of a minute, a ring every 10."""

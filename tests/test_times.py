@@ -43,7 +43,7 @@ def test_unreadable_and_clock_changes(spark):
         ("2024-03-05", "09:05 XYZ"), ("2024-03-10", "02:30"), ("2024-11-03", "01:30"), ("2024-11-03", "01:30 MDT"),
     ]
     got = resolve(spark, [(d, h, "a", EDMONTON, None) for d, h in rows])
-    assert [s for _, s in got[:10]] == ["unreadable"] * 10
+    assert [s for _, s in got[:10]] == ["unreadable"] * 8 + ["too_long", "unreadable"]
     assert [s for _, s in got[10:]] == ["nonexistent", "twice", "resolved"]
     assert got[12][0] == utc(2024, 11, 3, 7, 30)
 
@@ -92,3 +92,9 @@ def test_wall_clock_round_trip(second, zone):
 def test_mixture_shares():
     share = times.fit_mixture(np.array([[1, 0], [1, 1], [0, 1]], float), np.array([30.0, 40.0, 10.0]))
     assert share == pytest.approx([0.75, 0.25], abs=1e-6)
+
+
+def test_dates_in_an_order_that_the_source_does_not_use(spark):
+    rows = [(f"{d:02d}/{m:02d}/2024", "12", "dmy", EDMONTON, "utc") for d in range(13, 29) for m in range(1, 13)] + [("03/25/2024", "12", "dmy", EDMONTON, "utc")]
+    got = resolve(spark, rows)
+    assert {s for _, s in got[:-1]} == {"resolved"} and got[-1] == (None, "other_order")
