@@ -56,7 +56,8 @@ def main(arguments: list[str] | None = None) -> int:
         grid = rasters.read_grid(spark, given.dem, "elev")
         size_y = given.size
         size = given.size
-        if cells.is_geographic(given.crs, given.size):
+        crs = given.crs or (rasters.crs_of(given.dem) if given.dem.lower().endswith((".tif", ".tiff")) else None)
+        if cells.is_geographic(crs, given.size):
             middle = grid.agg(F.avg("y")).first()[0]
             size, size_y = (given.size * m for m in cells.metres_per_degree(middle))
         tables.write_cells(cells.slope_aspect(grid, "elev", size, size_y), given.output)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +67,61 @@ def head_ros(fuel: str, isi: Column, bui: Column, fmc=100.0, curing=85.0, conife
     return F.greatest(rate * buildup(fuel, bui), F.lit(0.0))
 
 
+_CURVE = ("a", "b", "c", "start", "q", "p", "k1", "k2")
+
+
+def _share(percent: float) -> float:
+    return min(max(float(percent), 0.0), 100.0) / 100.0
+
+
+def _plain_curing(curing: float) -> float:
+    raw = 0.005 * (math.exp(0.061 * curing) - 1.0) if curing < 58.8 else 0.176 + 0.02 * (curing - 58.8)
+    return min(max(raw, 0.0), 1.0)
+
+
+def rate_table(fuels: list[str], fmc: float = 100.0, curing: float = 85.0, conifer: float = 50.0, dead_fir: float = 50.0) -> Column:
+    """An array with what each fuel's rate is made of: one curve or two, their weights, and the most a crown fire adds.
+
+    Every fuel then has the same expression (``rate_of``), instead of one of its own.
+    """
+    moist = max(float(fmc), 0.0)
+    crown = max(1000.0 * (1.5 - 0.00275 * moist) ** 4 / (460.0 + 25.9 * moist), 0.0)
+    entries = []
+    for given in fuels:
+        fuel = {"O-1": "O-1A"}.get(given.strip().upper(), given.strip().upper())
+        first, second, w1, w2 = fuel, None, 1.0, 0.0
+        if fuel in ("M-1", "M-2", "M-3", "M-4"):
+            w1 = _share(conifer if fuel < "M-3" else dead_fir)
+            first, second, w2 = "C-2" if fuel < "M-3" else "DEAD", "D-1", (1.0 - w1) * (1.0 if fuel in ("M-1", "M-3") else 0.2)
+        elif fuel in ("O-1A", "O-1B"):
+            w1 = _plain_curing(float(curing))
+        elif fuel not in CURVES or fuel == "DEAD":
+            first, w1 = None, 0.0
+        curve_of = lambda f: F.struct(*[F.lit(None if f is None or v is None else float(v)).cast("double").alias(n) for n, v in zip(_CURVE, CURVES.get(f, (None,) * 8))])
+        entries.append(F.struct(F.lit(given).alias("fuel"), curve_of(first).alias("one"), F.lit(w1).alias("w1"), curve_of(second).alias("two"), F.lit(w2).alias("w2"), F.lit(crown if fuel == "C-6" else 0.0).alias("crown")))
+    return F.array(*entries)
+
+
+def rate_of(entry: str, isi: Column, bui: Column) -> Column:
+    """Head rate (m/min) of an entry of ``rate_table``; a null ``isi`` counts as 0."""
+    isi = F.greatest(F.coalesce(isi.cast("double"), F.lit(0.0)), F.lit(0.0))
+    bui = bui.cast("double")
+    at = lambda side, n: F.col(f"{entry}.{side}.{n}")
+
+    def base(side: str) -> Column:
+        return at(side, "a") * F.pow(1.0 - F.exp(-at(side, "b") * isi), at(side, "c"))
+
+    def built(side: str) -> Column:
+        big = at(side, "q") * F.pow(F.greatest(bui - at(side, "start"), F.lit(0.0)), at(side, "p"))
+        return F.when(bui > at(side, "start"), F.exp(at(side, "k1") * F.log(big) / (at(side, "k2") + big))).otherwise(1.0)
+
+    burned = F.least(F.greatest(1.0 - F.exp(-0.23 * F.greatest(base("one") - 10.0, F.lit(0.0))), F.lit(0.0)), F.lit(1.0))
+    crowned = F.when(F.col(f"{entry}.crown") > 0, base("one") + burned * F.col(f"{entry}.crown")).otherwise(base("one"))
+    first = F.when(F.col(f"{entry}.w1") > 0, F.col(f"{entry}.w1") * crowned * built("one")).otherwise(0.0)
+    second = F.when(F.col(f"{entry}.w2") > 0, F.col(f"{entry}.w2") * base("two") * built("two")).otherwise(0.0)
+    return F.greatest(first + second, F.lit(0.0))
+
+
 def fuel_name(code: Column, lookup: dict[int, str] | None = None) -> Column:
     """Name of a numeric fuel code by ``lookup`` (by default ``FUEL_CODES``); NF for all others.
 

@@ -162,7 +162,13 @@ def fuel_break(cells: DataFrame, mask: Column, treatment: str, code: int = 101,
 
 
 def fuel_rates(weather: DataFrame, fuels: list[str] | None = None, **options) -> DataFrame:
-    """``weather`` (``isi``, ``bui``) times fuels: ``fuel``, ``head_ros``. Small: fuels by instants."""
+    """``weather`` (``isi``, ``bui``) times fuels: ``fuel``, ``head_ros``. Small: fuels by instants.
+
+    ``options`` that are columns (a curing a row, say) need each fuel's own expression; numbers go into a table.
+    """
+    if not any(isinstance(v, Column) for v in options.values()):
+        rows = weather.select("*", F.explode(ros.rate_table(list(fuels or ros.FUELS), **options)).alias("_e"))
+        return rows.select(*weather.columns, "_e.fuel", ros.rate_of("_e", F.col("isi"), F.col("bui")).alias("head_ros"))
     entries = F.array(*[F.struct(F.lit(f).alias("fuel"), ros.head_ros(f, F.col("isi"), F.col("bui"), **options).alias("head_ros")) for f in fuels or ros.FUELS])
     return weather.select("*", F.explode(entries).alias("_e")).select(*weather.columns, "_e.fuel", "_e.head_ros")
 

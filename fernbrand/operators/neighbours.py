@@ -23,7 +23,7 @@ from fernbrand.session import cut
 #: Points that a range of latitude should hold, and the most ranges.
 RANGE_POINTS, MOST_RANGES = 50_000, 4_000
 #: Width of a cell of longitude in distances.
-CELL = 256
+CELL = 32
 
 
 def _ranges(points: DataFrame, distance: float) -> list[float]:

@@ -251,6 +251,12 @@ def read_geotiff(spark: SparkSession, path: str, value: str = "value", band: int
     return cells.select("grid_row", "grid_col", "x", "y", held.alias(value))
 
 
+def crs_of(path: str) -> str | None:
+    """The system of a GeoTIFF's coordinates (``EPSG:n``), if it names one."""
+    epsg = read_layout(path).epsg
+    return f"EPSG:{epsg}" if epsg else None
+
+
 def write_geotiff(cells: DataFrame, value: str, path: str, box: dict, epsg: int | None = None, nodata: float = -9999.0, rows: int = 64, compression: str = "deflate") -> None:
     """A grid (``box`` as ``cells.bounds`` gives it) as a GeoTIFF of 32-bit values.
 

@@ -29,7 +29,7 @@ def test_geotiff_round_trip(spark, tmp_path, compression):
     back = {(r["grid_row"], r["grid_col"]): r for r in rasters.read_geotiff(spark, path, "v").collect()}
     assert len(back) == 6000 and back[3, 4]["v"] is None and back[70, 0]["v"] is None
     assert all(back[i, j]["v"] == values[i, j] for i in range(150) for j in range(40) if i != 70 and (i, j) != (3, 4))
-    assert (back[0, 0]["x"], back[0, 0]["y"]) == (515.0, 8985.0) and rasters.read_layout(path).epsg == 3005
+    assert (back[0, 0]["x"], back[0, 0]["y"]) == (515.0, 8985.0) and rasters.crs_of(path) == "EPSG:3005"
     whole = {(r["grid_row"], r["grid_col"]): r["code"] for r in rasters.read_geotiff(spark, path, "code", integer=True).collect()}
     assert whole[3, 4] == rasters.MISSING_CODE and isinstance(whole[0, 0], int)
 
@@ -146,6 +146,14 @@ def test_run_from_files(spark, tmp_path, capsys):
     assert float(summary(spark, tmp_path)[1]["dur_min"]) == 0
 
 
+def test_terrain_command(spark, tmp_path):
+    df = table(spark, np.arange(20.0)[:, None] * np.ones(12))
+    rasters.write_geotiff(df, "v", str(tmp_path / "d.tif"), cells.bounds(df), 3005)
+    assert cli.main(["terrain", str(tmp_path / "d.tif"), "-o", str(tmp_path / "t"), "--size", "30"]) == 0
+    slopes = tables.read_cells(spark, str(tmp_path / "t")).agg(F.min("slope_deg"), F.max("slope_deg"), F.count("*")).first()
+    assert slopes[0] == pytest.approx(math.degrees(math.atan(1 / 30))) and slopes[1] == pytest.approx(slopes[0]) and slopes[2] == 240
+
+
 def test_run_with_drawn_ignitions(spark, tmp_path):
     ground(spark, tmp_path)
     text = "inputs: {cells: ./cells.parquet, probabilities: ./p.parquet}\nsimulation: {max_duration: 4, n_vertices: 12, store_every: 2}\nignition: {source: grid, n_iterations: 3, cause: Human, fires_per_iteration: {2: 1}, rates: {5: [1, 2]}, rules: [{fuels: [C-1], cause: Human}]}\n"
