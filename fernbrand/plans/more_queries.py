@@ -380,6 +380,43 @@ def history_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fires.final_rings(_history(spark, sf_dir)).groupBy("fire_id", "t_min").agg(F.count("*").alias("n_vertices"))
 
 
+def _sql_grown(steps: int, n: int, every: int) -> str:
+    """CTEs that end in ``rings`` (``fire_id``, ``t_min``, ``vertex_id``, ``x``, ``y``): growth over the ground of the cells, a step after another."""
+    ctes = [
+        f"cube as materialized (select grid_row, grid_col, t, coalesce({rq._CUBE_HEAD}, 0e0) hc from {rq._SLOPE} cross join (select range::int t, 8e0 + range isi, 60e0 + range * 5 bui, range * 40e0 wd, 20e0 + range temp, 40e0 - range rh from range({steps})))",
+        f"box as (select max(grid_row) + 1 nr, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from {duck('cells')})",
+        f"""r0 as (select fire_id, i::int vertex_id, x + 0.5e0 * cos(2e0 * pi() * i / {n}e0) x, y + 0.5e0 * sin(2e0 * pi() * i / {n}e0) y
+            from (select i.*, unnest(range({n})) i from {duck('ignitions')} i cross join box where i.x between x0 and x1 and i.y between box.y0 and box.y1))""",
+    ]
+    for t in range(steps):
+        around = rq._AROUND.format(c="y", t=rq._AROUND.format(c="x", t=f"r{t}"))
+        ctes.append(f"""n{t} as materialized {around},
+        s{t} as (select fire_id, vertex_id, sum(w * hc) h from (select *, (case when i = 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case when j = 1 then fx - floor(fx) else 1 - fx + floor(fx) end) w from (
+                select fire_id, vertex_id, least(49e0 - 1e-6, greatest(0e0, x / 30e0 - 0.5e0)) fx, least(nr - 1 - 1e-6, greatest(0e0, -y / 30e0 - 0.5e0)) fy from r{t} cross join box), (values (0), (1)) a(i), (values (0), (1)) b(j))
+            join cube on t = {t} and grid_row = floor(fy) + i and grid_col = floor(fx) + j group by 1, 2),
+        g{t} as (select fire_id from s{t} group by 1 having max(h) >= 0.01e0),
+        t{t} as (select n{t}.*, h, radians(({t * 40}e0 + 180) % 360) z, case when l > 0 then (x1 - x0) / l else 0e0 end xs, case when l > 0 then (y1 - y0) / l else 0e0 end ys
+            from (select *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) l from n{t}) n{t} join s{t} using (fire_id, vertex_id) join g{t} using (fire_id)),
+        u{t} as (select *, 0.6e0 * h a, 0.4e0 * h c, 0.3e0 * h f, xs * cos(z) - ys * sin(z) u, xs * sin(z) + ys * cos(z) v from t{t}),
+        m{t} as (select *, (f * f * cos(z) * v - a * a * sin(z) * u) / (sqrt(a * a * u * u + f * f * v * v) + 1e-15) + c * sin(z) vx, (-f * f * sin(z) * v - a * a * cos(z) * u) / (sqrt(a * a * u * u + f * f * v * v) + 1e-15) + c * cos(z) vy from u{t}),
+        w{t} as (select p.fire_id, p.vertex_id, sum(case when e.y <= p.y - p.xs and e.y1 > p.y - p.xs and (e.x1 - e.x) * (p.y - p.xs - e.y) - (p.x + p.ys - e.x) * (e.y1 - e.y) > 0 then 1
+                when e.y > p.y - p.xs and e.y1 <= p.y - p.xs and (e.x1 - e.x) * (p.y - p.xs - e.y) - (p.x + p.ys - e.x) * (e.y1 - e.y) < 0 then -1 else 0 end) k
+            from t{t} p join n{t} e using (fire_id) group by 1, 2),
+        r{t + 1} as materialized (select fire_id, vertex_id, x + case when k = 0 then vx else 0e0 end x, y + case when k = 0 then vy else 0e0 end y from m{t} join w{t} using (fire_id, vertex_id))""")
+    rings = " union all ".join(f"select fire_id, {t}e0 t_min, vertex_id, x, y from r{t}" for t in range(0, steps + 1, every))
+    return f"with {', '.join(ctes)}, rings as materialized ({rings})"
+
+
+_RINGS = _sql_grown(10, 60, 5)
+_RING_AROUND = rq._AROUND.format(c="y", t=rq._AROUND.format(c="x", t="rings")).replace("partition by fire_id", "partition by fire_id, t_min")
+GROWTH_ORACLES = {
+    "fire_growth": f"{_RINGS} select fire_id, t_min, round(abs(sum(x * y1 - x1 * y)) / 2 / 1e4, 6) area_ha, round(sum(sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y))), 4) perimeter_m from {_RING_AROUND} group by 1, 2",
+    "fire_history_thinned": f"{_RINGS} select fire_id, t_min, count(*) n_vertices from (select *, dense_rank() over (partition by fire_id order by t_min) k, max(t_min) over (partition by fire_id) m from rings) where k % 2 = 1 or t_min = m group by 1, 2",
+    "fire_final_rings": f"{_RINGS} select fire_id, t_min, count(*) n_vertices from (select *, max(t_min) over (partition by fire_id) m from rings) where t_min = m group by 1, 2",
+}
+ORACLES |= GROWTH_ORACLES
+
+
 @query()
 def fire_growth_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth at its usual size: 300 vertices, 480 steps of a minute, a ring every 10."""
