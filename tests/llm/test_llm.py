@@ -232,3 +232,30 @@ def test_rates_and_empty(spark):
 
 def test_catalogue():
     assert {"p8_found", "p9_mix", "p10_found"} <= set(queries()) and set(oracle_sql()) <= set(queries())
+
+
+def test_mix_as_large_as_its_sources(spark):
+    import hashlib
+
+    rng = random.Random(12)
+    docs = [(i, s, rng.randint(0, 60)) for i, s in enumerate(["big"] * 500 + ["mid"] * 150 + ["tiny"] * 3)] + [(9000, "big", None), (9001, "big", -5)]
+    targets = [("a", "big", 0.2, 1), ("a", "mid", 0.5, 2), ("a", "tiny", 0.2, 3), ("a", "absent", 0.1, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    mix, report = mixing.make_mixes(df, spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int"), mixing.ALL, seed=5, size_col="size")
+    size = {i: max(n or 0, 0) for i, _, n in docs}
+    held = {s: sum(size[i] for i, t, _ in docs if t == s) for s in ("big", "mid", "tiny", "absent")}
+    total = sum(held.values())
+    amounts = dict(zip(("big", "mid", "tiny", "absent"), mixing.water_fill(np.array([0.2, 0.5, 0.2, 0.1]), np.array([held["big"], 2.0 * held["mid"], 3.0 * held["tiny"], 0.0]), total)))
+    assert amounts["tiny"] == 3 * held["tiny"] and amounts["absent"] == 0 and amounts["big"] + amounts["mid"] + amounts["tiny"] <= total + 1e-6
+    got = {(r["source"], r["doc_id"]): r["copies"] for r in mix.collect()}
+    for source, amount in amounts.items():
+        ids = sorted((i for i, s, _ in docs if s == source), key=lambda i: int(hashlib.md5(f"5:{i}".encode()).hexdigest()[:15], 16))
+        whole = int(amount // held[source]) if held[source] else 0
+        rest, taken, copies = amount - whole * held[source], 0, {}
+        for i in ids:
+            fits = taken + size[i] <= rest or (taken <= rest and taken + size[i] - rest < rest - taken)
+            copies[i] = whole + (1 if fits and rest > 0 else 0)
+            taken += size[i]
+        assert {i: c for i, c in copies.items() if c} == {i: c for (s, i), c in got.items() if s == source}
+    share = {r["source"]: r for r in report.collect()}
+    assert share["tiny"]["most_copies"] == 3 and share["absent"]["actual_share"] == 0 and abs(share["mid"]["tokens"] - amounts["mid"]) <= 30
