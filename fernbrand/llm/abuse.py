@@ -327,20 +327,19 @@ class Examples:
         bound = np.bincount(at, weight[owner] * self.by_block.weights[entry], len(pair))
         pair = pair[bound >= NEAR - 1e-9]
         r, block = pair // self.by_block.width, pair % self.by_block.width
-        rows, examples, cosines = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
         begin = np.searchsorted(row, np.arange(len(windows) + 1))
         sizes = begin[r + 1] - begin[r]
         each = np.repeat(np.arange(len(r)), sizes)
         member = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[r[each]]
-        for k in range(BLOCK):
-            example = block * BLOCK + k
-            inside = example < len(self.texts)
-            cosine = np.bincount(each, weight[member] * self.by_example.at(word[member], np.minimum(example, len(self.texts) - 1)[each]), len(r))
-            keep = inside & (cosine >= NEAR)
-            rows.append(r[keep])
-            examples.append(example[keep])
-            cosines.append(cosine[keep])
-        return np.concatenate(rows), np.concatenate(examples), np.concatenate(cosines)
+        # A word's entries for the examples of a block stand together.
+        start = word[member].astype(np.int64) * self.by_example.width
+        low, high = (np.searchsorted(self.by_example.keys, start + np.minimum((block[each] + k) * BLOCK, self.by_example.width)) for k in (0, 1))
+        owner = np.repeat(np.arange(len(each)), high - low)
+        entry = np.arange(len(owner)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[owner]
+        at = each[owner] * BLOCK + self.by_example.places[entry] - block[each[owner]] * BLOCK
+        cosine = np.bincount(at, weight[member[owner]] * self.by_example.weights[entry], len(r) * BLOCK)
+        near = np.flatnonzero(cosine >= NEAR)
+        return r[near // BLOCK], block[near // BLOCK] * BLOCK + near % BLOCK, cosine[near]
 
     def votes(self, row: np.ndarray, example: np.ndarray, cosine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each of ``n`` rows: share of the weighted votes that are bad, the nearest bad example (-1: none), and the greatest cosine."""

@@ -190,12 +190,15 @@ class Index:
             r, block = r[near], pair[near] % self.by_block.width
             enough = self.by_block.at(passages[r], block[:, None]).sum(1) >= 1
             r, block = r[enough], block[enough]
-            for k in range(BLOCK):
-                s = block * BLOCK + k
-                real = s < len(self.items)
-                score = self.by_side.at(passages[r[real]], s[real][:, None]).sum(1)
-                rows.append(r[real][score >= 1])
-                sides.append(s[real][score >= 1])
+            # A word's entries for the sides of a block stand together.
+            start = passages[r].astype(np.int64) * self.by_side.width
+            low, high = (np.searchsorted(self.by_side.keys, start + np.minimum((block[:, None] + k) * BLOCK, self.by_side.width)).reshape(-1) for k in (0, 1))
+            owner, entry = _spread(low, high)
+            pair = owner // passages.shape[1]
+            score = np.bincount(pair * BLOCK + self.by_side.keys[entry] % self.by_side.width - block[pair] * BLOCK, self.by_side.weights[entry], len(r) * BLOCK)
+            near = np.flatnonzero(score >= 1 - 1e-6)
+            rows.append(r[near // BLOCK])
+            sides.append(block[near // BLOCK] * BLOCK + near % BLOCK)
         row, side = np.concatenate(rows), np.concatenate(sides)
         pair = np.unique(row.astype(np.int64) * len(self.items) + side)
         return pair // len(self.items), pair % len(self.items)
