@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,9 +154,3 @@ def write_results(rings: DataFrame, summary: DataFrame, folder: str) -> None:
     burned = summary.where("area_ha > 0").select("fire_id")
     write_rings(rings.join(burned, "fire_id", "left_semi"), os.path.join(folder, "perimeters"))
     write_csv(summary, os.path.join(folder, "simulation_summary"))
-
-
-def to_geojson(path: str, features: list[dict]) -> None:
-    """A small GeoJSON file from the driver."""
-    with open(path, "w") as f:
-        json.dump({"type": "FeatureCollection", "features": features}, f)

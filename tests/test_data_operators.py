@@ -269,7 +269,7 @@ def test_scores_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "station string, t long, temperature double").repartition(5)
     before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
-        for partitions, block, whole in ((1, 8192, 400_000), (7, 8192, 400_000), (7, 100, 500), (64, 8192, 400_000)):
+        for partitions, block, whole in ((1, 8192, 100_000), (7, 8192, 100_000), (7, 100, 500), (64, 8192, 100_000)):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
             spark.conf.set("spark.sql.adaptive.enabled", "false")
             results.append({(r["source"], r["second"]): (r["score"], r["in_jump"], r["in_run"]) for r in spikes.score_readings(df, "station", "t", ["temperature"], block, whole).collect()})

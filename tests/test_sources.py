@@ -166,6 +166,18 @@ def test_run_with_drawn_ignitions(spark, tmp_path):
     assert {(r["x"], r["y"]) for r in other.values()} != {(r["x"], r["y"]) for r in first.values()}
 
 
+def test_stations_and_points(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Station_Code,Station_Name,LATITUDE,Longitude,ELEVATION_M,slope\n007,North,51.5,-115.25,n/a,\n8,,x,,900,3\n")
+    rows = tables.read_stations(spark, str(tmp_path / "s.csv")).orderBy("station_code").collect()
+    assert [(r["station_code"], r["latitude"], r["elevation_m"], r["slope"]) for r in rows] == [("007", 51.5, None, None), ("8", None, 900.0, 3.0)]
+    points = spark.createDataFrame([(1, 2.5, 3.5, "Human")], "fire_id int, x double, y double, cause string")
+    tables.write_points(points, str(tmp_path / "p"))
+    feature = json.loads(spark.read.text(str(tmp_path / "p")).first()["value"])
+    assert feature["geometry"] == {"type": "Point", "coordinates": [2.5, 3.5]} and feature["properties"] == {"fire_id": 1, "cause": "Human"}
+    tables.write_csv(points, str(tmp_path / "c"))
+    assert tables.read_csv(spark, str(tmp_path / "c")).first()["cause"] == "Human"
+
+
 def test_configuration():
     with pytest.raises(config.ConfigError):
         config.parse({"ignition": {"source": "elsewhere"}})
