@@ -380,13 +380,20 @@ def history_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fires.final_rings(_history(spark, sf_dir)).groupBy("fire_id", "t_min").agg(F.count("*").alias("n_vertices"))
 
 
-def _sql_grown(steps: int, n: int, every: int) -> str:
-    """CTEs that end in ``rings`` (``fire_id``, ``t_min``, ``vertex_id``, ``x``, ``y``): growth over the ground of the cells, a step after another."""
+_LINE = "select range::int t, 8e0 + range isi, 60e0 + range * 5 bui, range * 40e0 wd, 20e0 + range temp, 40e0 - range rh from range({steps})"
+
+
+def _sql_grown(steps: int, n: int, every: int, line: str = _LINE, head: str = rq._CUBE_HEAD, points: str = duck("ignitions"), before: str = "with") -> str:
+    """CTEs that end in ``rings`` (``fire_id``, ``t_min``, ``vertex_id``, ``x``, ``y``): growth over the ground of the cells, a step after another.
+
+    ``line``: the weather of each step ``t``; ``head``: a cell's rate in it.
+    """
     ctes = [
-        f"cube as materialized (select grid_row, grid_col, t, coalesce({rq._CUBE_HEAD}, 0e0) hc from {rq._SLOPE} cross join (select range::int t, 8e0 + range isi, 60e0 + range * 5 bui, range * 40e0 wd, 20e0 + range temp, 40e0 - range rh from range({steps})))",
+        f"line as materialized ({line.replace('{steps}', str(steps))})",
+        f"cube as materialized (select grid_row, grid_col, t, coalesce({head}, 0e0) hc from {rq._SLOPE} cross join line)",
         f"box as (select max(grid_row) + 1 nr, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from {duck('cells')})",
         f"""r0 as (select fire_id, i::int vertex_id, x + 0.5e0 * cos(2e0 * pi() * i / {n}e0) x, y + 0.5e0 * sin(2e0 * pi() * i / {n}e0) y
-            from (select i.*, unnest(range({n})) i from {duck('ignitions')} i cross join box where i.x between x0 and x1 and i.y between box.y0 and box.y1))""",
+            from (select i.*, unnest(range({n})) i from {points} i cross join box where i.x between x0 and x1 and i.y between box.y0 and box.y1))""",
     ]
     for t in range(steps):
         around = rq._AROUND.format(c="y", t=rq._AROUND.format(c="x", t=f"r{t}"))
@@ -395,7 +402,7 @@ def _sql_grown(steps: int, n: int, every: int) -> str:
                 select fire_id, vertex_id, least(49e0 - 1e-6, greatest(0e0, x / 30e0 - 0.5e0)) fx, least(nr - 1 - 1e-6, greatest(0e0, -y / 30e0 - 0.5e0)) fy from r{t} cross join box), (values (0), (1)) a(i), (values (0), (1)) b(j))
             join cube on t = {t} and grid_row = floor(fy) + i and grid_col = floor(fx) + j group by 1, 2),
         g{t} as (select fire_id from s{t} group by 1 having max(h) >= 0.01e0),
-        t{t} as (select n{t}.*, h, radians(({t * 40}e0 + 180) % 360) z, case when l > 0 then (x1 - x0) / l else 0e0 end xs, case when l > 0 then (y1 - y0) / l else 0e0 end ys
+        t{t} as (select n{t}.*, h, radians(((select wd from line where t = {t}) + 180) % 360) z, case when l > 0 then (x1 - x0) / l else 0e0 end xs, case when l > 0 then (y1 - y0) / l else 0e0 end ys
             from (select *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) l from n{t}) n{t} join s{t} using (fire_id, vertex_id) join g{t} using (fire_id)),
         u{t} as (select *, 0.6e0 * h a, 0.4e0 * h c, 0.3e0 * h f, xs * cos(z) - ys * sin(z) u, xs * sin(z) + ys * cos(z) v from t{t}),
         m{t} as (select *, (f * f * cos(z) * v - a * a * sin(z) * u) / (sqrt(a * a * u * u + f * f * v * v) + 1e-15) + c * sin(z) vx, (-f * f * sin(z) * v - a * a * cos(z) * u) / (sqrt(a * a * u * u + f * f * v * v) + 1e-15) + c * cos(z) vy from u{t}),
@@ -404,7 +411,7 @@ def _sql_grown(steps: int, n: int, every: int) -> str:
             from t{t} p join n{t} e using (fire_id) group by 1, 2),
         r{t + 1} as materialized (select fire_id, vertex_id, x + case when k = 0 then vx else 0e0 end x, y + case when k = 0 then vy else 0e0 end y from m{t} join w{t} using (fire_id, vertex_id))""")
     rings = " union all ".join(f"select fire_id, {t}e0 t_min, vertex_id, x, y from r{t}" for t in range(0, steps + 1, every))
-    return f"with {', '.join(ctes)}, rings as materialized ({rings})"
+    return f"{before} {', '.join(ctes)}, rings as materialized ({rings})"
 
 
 _RINGS = _sql_grown(10, 60, 5)
@@ -414,6 +421,32 @@ GROWTH_ORACLES = {
     "fire_history_thinned": f"{_RINGS} select fire_id, t_min, count(*) n_vertices from (select *, dense_rank() over (partition by fire_id order by t_min) k, max(t_min) over (partition by fire_id) m from rings) where k % 2 = 1 or t_min = m group by 1, 2",
     "fire_final_rings": f"{_RINGS} select fire_id, t_min, count(*) n_vertices from (select *, max(t_min) over (partition by fire_id) m from rings) where t_min = m group by 1, 2",
 }
+_NAMED = _LOOKUP | {4: "C-2", 5: "C-2", 6: "C-7", 7: "C-4", 11: "D-1"}
+_RUN_HEAD = "(case fuel_id " + " ".join(f"when {k} then {rq._sql_ros(v.upper(), 'isi', 'bui')}" for k, v in _NAMED.items() if v != "NF") + f" else 0e0 end) * {rq._SF.format(s=rq._RAWSF.format(wd='wd'))} * {rq._EF.format(t='temp', h='rh')}"
+# The weather of a run: indices of its typical day, readings of all stations between the hours from noon of the middle day on.
+_RUN_LINE = """select k.t, isi, bui, case when d < 0 then d + 360e0 else d end wd, tt temp, hh rh from (
+        select t, v.t * (1 - w) + v1.t * w tt, v.h * (1 - w) + v1.h * w hh,
+            degrees(atan2(sin(radians(v.d)) * (1 - w) + sin(radians(v1.d)) * w, cos(radians(v.d)) * (1 - w) + cos(radians(v1.d)) * w)) d
+        from (select t, v, coalesce(v1, v) v1, case when s1 is null or at_ <= s then 0e0 else (at_ - s) * 1e0 / (s1 - s) end w
+            from pairs join (select range::int t, (select day from middle) + range * 60 at_ from range({steps})) on (at_ > s or i = 1) and (s1 is null or at_ <= s1))) k cross join typical"""
+_RUN_BEFORE = f"""{_LISTED}, severe as (select * from l where category in ('high', 'extreme')), picked as (select * from severe union all select * from l where not exists (select 1 from severe)),
+    share as (select case when (select count(*) from severe) in (0, (select count(*) from l)) then 0.75 else 0.5 end q),
+    typical as (select quantile_cont(p.isi, 0.5) m_isi, quantile_cont(p.bui, 0.5) m_bui, quantile_cont(p.isi, 0.75) u_isi, quantile_cont(p.bui, 0.75) u_bui,
+        case when (select q from share) = 0.5 then m_isi else u_isi end isi, case when (select q from share) = 0.5 then m_bui else u_bui end bui from exact p),
+    hours as (select *, epoch(obs_date)::bigint + obs_hour * 3600 s from {duck('obs')}), once as (select s, max({{'t': temp, 'h': rh, 'w': ws, 'd': wd}}) v from hours group by 1),
+    pairs as (select *, lead(s) over w s1, lead(v) over w v1, row_number() over w i from once window w as (order by s)),
+    middle as (select epoch(obs_date)::bigint + 43200 as day from (select obs_date, row_number() over (order by obs_date) - 1 k, count(*) over () // 2 m from hours) where k = m),"""
+# The typical day needs the indices as they are, not as they are shown.
+_RUN_BEFORE = _RUN_BEFORE.replace("typical as (", f"""exact as (select isi, bui from (select *, {rq._CLASS} category from (select obs_date, {rq._ISI.format(m=rq._MO.format(f='ffmc'), w='ws')} isi,
+        {rq._BUI.replace('case when p = 0 and c = 0', 'case when dmc = 0 and dc = 0').replace(' p ', ' dmc ').replace(' c ', ' dc ').replace('* c', '* dc').replace('* p', '* dmc').replace('else p', 'else dmc').replace('(p ', '(dmc ')} bui
+        from (select r.*, ws from r join d using (obs_date)))) where category in ('high', 'extreme') or not exists (select 1 from severe)),
+    typical as (""")
+_OFF = f"(select fire_id, iteration, case when fire_id % 10 = 0 then x + 1e6 else x end x, y, cause, season from {duck('ignitions')})"
+_RUN = _sql_grown(20, 60, 5, _RUN_LINE, _RUN_HEAD, _OFF, _RUN_BEFORE)
+GROWTH_ORACLES["run_simulation_summary"] = f"""{_RUN}, last as (select *, max(t_min) over (partition by fire_id) m from rings),
+    sized as (select fire_id, t_min, round(abs(sum(x * y1 - x1 * y)) / 2 / 1e4, 6) area_ha, round(sum(sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y))), 4) perimeter_m
+        from {rq._AROUND.format(c='y', t=rq._AROUND.format(c='x', t='(select fire_id, vertex_id, x, y, t_min from last where t_min = m)'))} group by 1, 2)
+    select i.fire_id, cause, season, iteration, coalesce(area_ha, 0) area_ha, coalesce(perimeter_m, 0) perimeter_m, coalesce(t_min, 0) dur_min from {_OFF} i left join sized using (fire_id)"""
 ORACLES |= GROWTH_ORACLES
 
 
