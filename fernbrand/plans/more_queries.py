@@ -429,14 +429,12 @@ _RUN_LINE = """select k.t, isi, bui, case when d < 0 then d + 360e0 else d end w
             degrees(atan2(sin(radians(v.d)) * (1 - w) + sin(radians(v1.d)) * w, cos(radians(v.d)) * (1 - w) + cos(radians(v1.d)) * w)) d
         from (select t, v, coalesce(v1, v) v1, case when s1 is null or at_ <= s then 0e0 else (at_ - s) * 1e0 / (s1 - s) end w
             from pairs join (select range::int t, (select day from middle) + range * 60 at_ from range({steps})) on (at_ > s or i = 1) and (s1 is null or at_ <= s1))) k cross join typical"""
-_RUN_BEFORE = f"""{_LISTED}, severe as (select * from l where category in ('high', 'extreme')), picked as (select * from severe union all select * from l where not exists (select 1 from severe)),
-    share as (select case when (select count(*) from severe) in (0, (select count(*) from l)) then 0.75 else 0.5 end q),
-    typical as (select quantile_cont(p.isi, 0.5) m_isi, quantile_cont(p.bui, 0.5) m_bui, quantile_cont(p.isi, 0.75) u_isi, quantile_cont(p.bui, 0.75) u_bui,
-        case when (select q from share) = 0.5 then m_isi else u_isi end isi, case when (select q from share) = 0.5 then m_bui else u_bui end bui from exact p),
+_RUN_BEFORE = f"""{_LISTED}, severe as (select * from l where category in ('high', 'extreme')),
+    typical as (select quantile_cont(p.isi, 0.75) isi, quantile_cont(p.bui, 0.75) bui from exact p),
     hours as (select *, epoch(obs_date)::bigint + obs_hour * 3600 s from {duck('obs')}), once as (select s, max({{'t': temp, 'h': rh, 'w': ws, 'd': wd}}) v from hours group by 1),
     pairs as (select *, lead(s) over w s1, lead(v) over w v1, row_number() over w i from once window w as (order by s)),
     middle as (select epoch(obs_date)::bigint + 43200 as day from (select obs_date, row_number() over (order by obs_date) - 1 k, count(*) over () // 2 m from hours) where k = m),"""
-# The typical day needs the indices as they are, not as they are shown.
+# The typical day needs the indices as they are, not as they are shown. Only severe days are kept, or, if there are none, all: upper quartiles either way.
 _RUN_BEFORE = _RUN_BEFORE.replace("typical as (", f"""exact as (select isi, bui from (select *, {rq._CLASS} category from (select obs_date, {rq._ISI.format(m=rq._MO.format(f='ffmc'), w='ws')} isi,
         {rq._BUI.replace('case when p = 0 and c = 0', 'case when dmc = 0 and dc = 0').replace(' p ', ' dmc ').replace(' c ', ' dc ').replace('* c', '* dc').replace('* p', '* dmc').replace('else p', 'else dmc').replace('(p ', '(dmc ')} bui
         from (select r.*, ws from r join d using (obs_date)))) where category in ('high', 'extreme') or not exists (select 1 from severe)),
