@@ -207,7 +207,7 @@ _STATIC = rq._CUBE_HEAD.replace("isi", "10e0").replace("bui", "70e0").replace("w
 @query(f"select grid_row, grid_col, round(h, 6) head_ros, round(0.2e0 * h, 6) back_ros from (select grid_row, grid_col, {_STATIC} h from {rq._SLOPE})")
 def ros_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of one representative weather, as a run without hourly weather uses them throughout."""
-    weather = fireweather.representative(load(spark, sf_dir, "obs").limit(0)).withColumns({"step": F.lit(0), "rh": F.lit(40.0)})
+    weather = fireweather.representative(spark.createDataFrame([], "isi double")).withColumns({"step": F.lit(0), "rh": F.lit(40.0)})
     cells = grid.fuel_break(rq._terrain(spark, sf_dir), rq._mask(), "zero_ros")
     return grid.spread_grid(cells, weather.select("step", "isi", "bui", "wd", "temp", "rh")).select("grid_row", "grid_col", _r("head_ros", "head_ros"), _r("back_ros", "back_ros"))
 
