@@ -117,12 +117,11 @@ class Parsed:
         self.has_day, self.has_swapped, self.has_secs, self.is_epoch, self.zoned, self.has_offset, self.numeric = (np.zeros(n, bool) for _ in range(7))
 
 
-def parse(texts: pa.Array) -> Parsed:
-    """Reads each text (not null, trimmed)."""
+def _by_form(texts: pa.Array):
+    """Bytes of the texts, and for each form among them the rows of that form and its spans."""
     raw, lengths = _bytes(texts)
-    out = Parsed(len(texts))
     if not raw.size:
-        return out
+        return
     shaped = _CLASS[raw]
     key = shaped.astype(np.uint64) @ _MIX[: raw.shape[1]]
     _, example, form_of = np.unique(key, return_index=True, return_inverse=True)
@@ -133,7 +132,31 @@ def parse(texts: pa.Array) -> Parsed:
             continue
         spans = read_form(shaped[first, : lengths[first]].tobytes().decode("latin-1"))
         if spans:
-            _fields(raw[rows], spans, rows, out)
+            yield raw, rows, spans
+
+
+def parse(texts: pa.Array) -> Parsed:
+    """Reads each text (not null, trimmed)."""
+    out = Parsed(len(texts))
+    for raw, rows, spans in _by_form(texts):
+        _fields(raw[rows], spans, rows, out)
+    return out
+
+
+#: Kinds of all-numeric dates by the orders of day and month that they can have.
+DAY_FIRST, MONTH_FIRST, EITHER = "day-month-year", "month-day-year", "either order"
+_PARTS = {"y": "year", "m": "month", "d": "day", "doy": "day of year", "name": "month name", "epoch": "epoch"}
+
+
+def kinds(texts: pa.Array) -> np.ndarray:
+    """The form of each text's date by its parts in order, all-numeric ones by their possible orders; none where it can't be read."""
+    out, p = np.full(len(texts), None, object), parse(texts)
+    for _, rows, spans in _by_form(texts):
+        held = sorted((v[0], _PARTS[k]) for k, v in spans.items() if k in _PARTS)
+        out[rows] = "-".join(n for _, n in held)
+    both = p.has_day & p.has_swapped
+    out[p.numeric] = np.where(both, EITHER, np.where(p.has_day, DAY_FIRST, np.where(p.has_swapped, MONTH_FIRST, None)))[p.numeric]
+    out[~p.numeric & ~p.is_epoch & ~p.has_day] = None
     return out
 
 

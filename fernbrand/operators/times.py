@@ -73,6 +73,35 @@ def fit_orders(df: DataFrame, date_col: str, source_col: str) -> DataFrame:
     return cut(order_counts(df, date_col, source_col).groupBy("source").applyInPandas(_fit_source, f"source {kind}, share_dmy double"))
 
 
+@F.arrow_udf(T.StringType())
+def _kind(date: pa.Array, hour: pa.Array) -> pa.Array:
+    return pa.array(instants.kinds(instants.joined(date, hour)), pa.string())
+
+
+def _fit_forms(pdf: pd.DataFrame) -> pd.DataFrame:
+    plain = sorted(k for k in pdf["kind"] if k != instants.EITHER)
+    forms = sorted({*plain, *((instants.DAY_FIRST, instants.MONTH_FIRST) if instants.EITHER in set(pdf["kind"]) else ())})
+    valid = np.array([[f in ((instants.DAY_FIRST, instants.MONTH_FIRST) if k == instants.EITHER else (k,)) for f in forms] for k in pdf["kind"]], float)
+    counts = pdf["count"].to_numpy(float)
+    share = fit_mixture(valid, counts)
+    return pd.DataFrame({"source": [pdf["source"].iloc[0]] * len(forms), "form": forms, "share": share, "n_values": share * counts.sum()})
+
+
+def form_shares(df: DataFrame, date_col: str, hour_col: str | None, source_col: str) -> DataFrame:
+    """``source``, ``form``, ``share``, ``n_values``: the mixture of all forms that a source writes its dates in.
+
+    Every readable value contributes to each form that it can have (all-numeric ones to both
+    orders, unless only one is possible), and expectation-maximisation weighs them; the shares of
+    the two orders stand in the ratio that ``fit_orders`` finds. The fit runs on counts per source
+    and kind of value.
+    """
+    kind = dict(df.dtypes)[source_col]
+    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
+    each = df.select(F.col(source_col).alias("source"), _kind(text(date_col), text(hour_col)).alias("kind"))
+    counts = each.where(F.col("kind").isNotNull()).groupBy("source", "kind").count()
+    return counts.groupBy("source").applyInPandas(_fit_forms, f"source {kind}, form string, share double, n_values double")
+
+
 _TIME = T.StructType([T.StructField("second", T.LongType()), T.StructField("status", T.StringType()), T.StructField("posterior", T.DoubleType())])
 
 

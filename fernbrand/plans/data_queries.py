@@ -26,6 +26,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms in which each feed writes its dates, and their fitted shares."""
+    shares = times.form_shares(_read(spark, sf_dir, "weather", "feed_id", "obs_date", "obs_hour"), "obs_date", "obs_hour", "feed_id")
+    return shares.select(F.col("source").alias("feed_id"), "form", F.round("share", 6).alias("share"), F.round("n_values", 3).alias("n_values"))
+
+
 FIELDS = ["temperature", "wind_speed", "precipitation"]
 
 
@@ -105,7 +111,7 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_missing": p4_missing, "p5_found": p5_found, "p6_found": p6_found,
+    "p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p3_found": p3_found, "p3_series": p3_series, "p4_found": p4_found, "p4_missing": p4_missing, "p5_found": p5_found, "p6_found": p6_found,
     "p6_scores": p6_scores,
 }
 

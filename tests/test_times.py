@@ -98,3 +98,14 @@ def test_dates_in_an_order_that_the_source_does_not_use(spark):
     rows = [(f"{d:02d}/{m:02d}/2024", "12", "dmy", EDMONTON, "utc") for d in range(13, 29) for m in range(1, 13)] + [("03/25/2024", "12", "dmy", EDMONTON, "utc")]
     got = resolve(spark, rows)
     assert {s for _, s in got[:-1]} == {"resolved"} and got[-1] == (None, "other_order")
+
+
+def test_shares_of_all_forms(spark):
+    rows = [("a", f"{d:02d}/03/2024", "12") for d in range(1, 29)] + [("a", "2024-03-05", "9")] * 12 + [("a", "5 Mar 2024", "9")] * 4 + [("a", "1709629200", None)] * 6 + [("a", "junk", "1"), ("a", None, None)]
+    rows += [("b", "05/04/2024", "1"), ("b", "04/25/2024", "1"), (None, "2024-123", "01:00"), ("c", "31/31/2024", "1")]
+    df = spark.createDataFrame(rows, "feed string, d string, h string")
+    got = {(r["source"], r["form"]): (r["share"], r["n_values"]) for r in times.form_shares(df, "d", "h", "feed").collect()}
+    assert got["a", "day-month-year"][1] == pytest.approx(28, abs=0.05) and got["a", "month-day-year"][0] < 0.001
+    assert [got["a", f][1] for f in ("year-month-day", "day-month name-year", "epoch")] == pytest.approx([12, 4, 6]) and sum(v[0] for (s, _), v in got.items() if s == "a") == pytest.approx(1)
+    assert got["b", "month-day-year"][0] > 0.99 and got[None, "year-day of year"] == (1.0, 1.0) and not any(s == "c" for s, _ in got)
+    assert times.form_shares(df.limit(0), "d", "h", "feed").count() == 0
