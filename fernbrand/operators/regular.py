@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from fernbrand.functions.ssa import impute_marked
 from fernbrand.session import cut
-from fernbrand.sizing import broadcast_if_small
 
 #: Periods of a block, and the periods of its neighbours that it also sees.
 BLOCK, MARGIN = 512, 48
