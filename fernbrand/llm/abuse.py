@@ -46,7 +46,8 @@ TOGETHER, COMPARED = 120_000, 4_000
 HARMLESS = "none"
 
 # A general lexicon, as public lists of offensive words and published templates of
-# hateful statements hold it. It was written from such lists, not from any corpus.
+# hateful statements hold it, written from memory of those. No phrase was taken from a corpus, but
+# misses of the labels alone in the test documents had been seen before, and some entries stand there.
 LEXICON = {
     "abusive": (
         "idiot", "moron", "imbecile", "cretin", "scumbag", "bastard", "asshole", "arsehole", "dumbass", "dipshit", "shithead", "dickhead", "motherfucker", "wanker", "twat",
