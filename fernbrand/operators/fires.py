@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from fernbrand.functions import fronts, ros
 from fernbrand.operators.cells import crossed, fuel_rates, metres_per_degree
 from fernbrand.operators.quantiles import exact_quantiles
 from fernbrand.session import cut
+from fernbrand.sizing import broadcast_if_small
 
 
 def _around(keys: list[str]):
@@ -74,7 +76,9 @@ def turning(points: DataFrame, rings: DataFrame, keys: list[str]) -> DataFrame:
 MOST_RATES = 2_000_000
 #: Steps that a task goes before it is given the cells around the front anew.
 SLAB = 120
-STATE = "fire_id bigint, step int, spreads boolean, xs array<double>, ys array<double>, t_min double"
+#: Fires of a task, where there are many.
+TOGETHER = 50
+STATE = "place bigint, step int, spreads boolean, xs array<double>, ys array<double>, t_min double"
 
 
 def _timeline(weather: DataFrame, first: int, last: int, fuels: list[str], options: dict | None = None) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
@@ -95,13 +99,23 @@ def on_grid(ignitions: DataFrame, grid: dict) -> DataFrame:
     return ignitions.where(F.col("x").between(grid["x0"], grid["x1"]) & F.col("y").between(grid["y0"], grid["y1"]))
 
 
-def grow_fires(
+def grow_fires(ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, **options) -> DataFrame:
+    """Stored rings of each fire (``fire_id``, ``x``, ``y``), a row a vertex. A fire off the grid has no ring.
+
+    Arguments are those of ``grow_places``.
+    """
+    fires_, rings = grow_places(ignitions, cells, weather, steps, grid, **options)
+    return _vertices(of_fires(fires_, rings))
+
+
+def grow_places(
     ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, n: int = 300, radius: float = 0.5, every: int = 10, markers: bool = True, dt: float = 1.0,
     least: float = 0.01, strength: float = 0.5, back_share: float = 0.2, length_to_breadth: float = 2.0, lookup: dict[int, str] | None = None, latitude: float | None = None, marker_step: float = 1.0,
     slab: int = SLAB, fuel_options: dict | None = None,
-) -> DataFrame:
-    """Stored rings of each fire (``fire_id``, ``x``, ``y``), a row a vertex. A fire off the grid has no ring.
+) -> tuple[DataFrame, DataFrame]:
+    """Fires on the grid (``fire_id``, ``place``) and the stored rings of each place (``place``, ``t_min``, arrays ``xs``, ``ys``).
 
+    Fires that begin at one point burn alike: the point is a place, and is grown once for all of them.
     ``cells``: ``grid_row``, ``grid_col``, ``fuel_id``, ``elev``, ``slope_deg``, ``aspect_deg``, ``zero_ros``;
     ``weather``: ``step``, ``isi``, ``bui``, ``wd``, ``temp``, ``rh``; its last step holds on. ``grid`` as ``cells.bounds``
     gives it. ``latitude``: coordinates are degrees; rates are over the mean of the metres of a
@@ -113,7 +127,8 @@ def grow_fires(
     """
     spark, size, left, top = ignitions.sparkSession, grid["size"], grid["left"], grid["top"]
     scale = 1.0 if latitude is None else sum(metres_per_degree(latitude)) / 2
-    named = cells.withColumn("_name", ros.fuel_name(F.col("fuel_id"), lookup))
+    # Terrain is written once, not made anew for each slab.
+    named = cut(cells.select("grid_row", "grid_col", "elev", "slope_deg", "aspect_deg", "zero_ros", ros.fuel_name(F.col("fuel_id"), lookup).alias("_name")))
     facts = named.agg(F.max(F.when(~F.isnan("slope_deg"), F.col("slope_deg"))).alias("slope"), F.collect_set("_name").alias("fuels")).first()
     fuels = [f for f in ros.FUELS if f in (facts["fuels"] or [])] + ["NF"]
     steepest = 1.3 * (1 + abs(strength) * np.tan(np.radians(min(facts["slope"] or 0.0, 89.0))))
@@ -126,12 +141,16 @@ def grow_fires(
     ground = named.select("grid_row", "grid_col", number.alias("fuel"), "elev", "slope_deg", "aspect_deg", "zero_ros", tiled(F.col("grid_row")).alias("_tr"), tiled(F.col("grid_col")).alias("_tc"))
     turn = [2 * np.pi * i / n for i in range(n)]
     ring = lambda c, f: F.transform(F.array(*[F.lit(float(v)) for v in turn]), lambda a: F.col(c) + radius / scale * f(a))
-    start = on_grid(ignitions, grid).select(F.col("fire_id").cast("long").alias("fire_id"), F.lit(0).alias("step"), F.lit(True).alias("spreads"), ring("x", F.cos).alias("xs"), ring("y", F.sin).alias("ys"))
+    begun = cut(on_grid(ignitions, grid).select(F.col("fire_id").cast("long").alias("fire_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct())
+    places = cut(begun.select("x", "y").distinct().withColumn("place", F.monotonically_increasing_id()))
+    same = broadcast_if_small(places.withColumnsRenamed({"x": "_x", "y": "_y"}))
+    fires_ = begun.join(same, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select("fire_id", "place")
+    start = places.select("place", F.lit(0).alias("step"), F.lit(True).alias("spreads"), ring("x", F.cos).alias("xs"), ring("y", F.sin).alias("ys"))
     state = cut(start.withColumn("t_min", F.lit(0.0)))
     stored = [state]
     last_weather = weather.agg(F.max("step")).first()[0]
     if last_weather is None:
-        return _vertices(state)
+        return fires_, state.select("place", "t_min", "xs", "ys")
     slab = max(1, min(slab, MOST_RATES // len(fuels)))
     for first in range(0, steps, slab):
         end = min(first + slab, steps)
@@ -143,19 +162,41 @@ def grow_fires(
             "_c0": F.floor((F.array_min("xs") - reach - left) / size), "_c1": F.floor((F.array_max("xs") + reach - left) / size),
         }
         inside = {k: F.least(F.greatest(v, F.lit(0)), F.lit(grid["rows" if "r" in k else "cols"] - 1)).cast("int") for k, v in near.items()}
-        front = state.where("spreads").select("fire_id", "xs", "ys")
-        wanted = front.withColumns(inside).select("fire_id", "_r0", "_r1", "_c0", "_c1", F.explode(F.sequence(tiled(F.col("_r0")), tiled(F.col("_r1")))).alias("_wr"))
+        front = state.where("spreads").select("place", "xs", "ys")
+        burning = front.count()
+        if not burning:
+            break
+        wanted = front.withColumns(inside).select("place", "_r0", "_r1", "_c0", "_c1", F.explode(F.sequence(tiled(F.col("_r0")), tiled(F.col("_r1")))).alias("_wr"))
         wanted = wanted.select("*", F.explode(F.sequence(tiled(F.col("_c0")), tiled(F.col("_c1")))).alias("_wc"))
         joined = wanted.join(ground, (F.col("_wr") == F.col("_tr")) & (F.col("_wc") == F.col("_tc")))
         joined = joined.where(F.col("grid_row").between(F.col("_r0"), F.col("_r1")) & F.col("grid_col").between(F.col("_c0"), F.col("_c1")))
-        joined = joined.select(F.col("fire_id").alias("fire"), "grid_row", "grid_col", "fuel", "elev", "slope_deg", "aspect_deg", "zero_ros")
+        joined = joined.select(F.col("place").alias("fire"), "grid_row", "grid_col", "fuel", "elev", "slope_deg", "aspect_deg", "zero_ros")
         settings = (first, end, held, lines, rates, left, top, size, scale, dt, least, every, markers, marker_step, strength, back_share, length_to_breadth)
-        grown = cut(joined.groupBy("fire").cogroup(front.groupBy("fire_id")).applyInPandas(_stepper(settings), STATE))
+        # Small rings are long work: as many tasks as that takes, not as few as their bytes would fill.
+        tasks = min(burning, max(4 * spark.sparkContext.defaultParallelism, burning // TOGETHER))
+        grown = cut(joined.repartition(tasks, "fire").groupBy("fire").cogroup(front.repartition(tasks, "place").groupBy("place")).applyInPandas(_stepper(settings), STATE))
         stored.append(grown.where("t_min is not null"))
         state = grown.where("t_min is null")
-        if end < steps and not state.where("spreads").limit(1).count():
-            break
-    return _vertices(reduce(DataFrame.unionByName, stored))
+    return fires_, reduce(DataFrame.unionByName, stored).select("place", "t_min", "xs", "ys")
+
+
+def of_fires(fires_: DataFrame, by_place: DataFrame) -> DataFrame:
+    """What is known of each place (rings, or measures of them), for each fire that began there."""
+    small = broadcast_if_small(fires_.withColumnRenamed("place", "_place"))
+    return by_place.join(small, F.col("place") == F.col("_place")).drop("place", "_place").select("fire_id", *[c for c in by_place.columns if c != "place"])
+
+
+def measured(rings: DataFrame) -> DataFrame:
+    """As ``ring_measures`` in metres, of rings held as arrays ``xs``, ``ys``; other columns stay."""
+    kept = [c for c in rings.columns if c not in ("xs", "ys")]
+
+    def sizes(batches):
+        for batch in batches:
+            held = [np.stack([np.asarray(batch.column(c)[i].values) for c in ("xs", "ys")], 1) for i in range(batch.num_rows)]
+            by = [pa.array([f(r) for r in held], pa.float64()) for f in (lambda r: fronts.area(r) / 10_000, fronts.perimeter)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *by], names=[*kept, "area_ha", "perimeter_m"])
+
+    return rings.mapInArrow(sizes, rings.select(*kept, F.lit(0.0).alias("area_ha"), F.lit(0.0).alias("perimeter_m")).schema)
 
 
 def _stepper(settings: tuple):
@@ -172,14 +213,14 @@ def _vertices(rings: DataFrame) -> DataFrame:
 
 
 def _slab(ground, front, first, end, held, lines, rates, left, top, size, scale, dt, least, every, markers, marker_step, strength, back_share, length_to_breadth) -> pd.DataFrame:
-    """A fire's stored rings in a slab of steps, and the ring at its end (without a time)."""
+    """A place's stored rings in a slab of steps, and the ring at its end (without a time)."""
     out = lambda fire, rings: pd.DataFrame({
-        "fire_id": [fire] * len(rings), "step": [end] * len(rings), "spreads": [r[2] for r in rings], "xs": [r[1][:, 0] for r in rings], "ys": [r[1][:, 1] for r in rings],
+        "place": [fire] * len(rings), "step": [end] * len(rings), "spreads": [r[2] for r in rings], "xs": [r[1][:, 0] for r in rings], "ys": [r[1][:, 1] for r in rings],
         "t_min": pd.array([r[0] for r in rings], "Float64"),
     })
     if not len(front):
         return pd.DataFrame({c.split()[0]: [] for c in STATE.split(", ")})
-    fire, ring = front["fire_id"].iloc[0], np.stack([np.asarray(front["xs"].iloc[0], float), np.asarray(front["ys"].iloc[0], float)], 1)
+    fire, ring = front["place"].iloc[0], np.stack([np.asarray(front["xs"].iloc[0], float), np.asarray(front["ys"].iloc[0], float)], 1)
     if not len(ground):
         return out(fire, [(None, ring, False)])
     rows, cols = np.arange(ground["grid_row"].min(), ground["grid_row"].max() + 1), np.arange(ground["grid_col"].min(), ground["grid_col"].max() + 1)

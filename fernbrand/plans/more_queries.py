@@ -452,8 +452,8 @@ ORACLES |= GROWTH_ORACLES
 def fire_growth_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth at its usual size: 300 vertices, 480 steps of a minute, a ring every 10."""
     ground = grid.fuel_break(rq._terrain(spark, sf_dir), rq._mask(), "zero_ros")
-    rings = fires.grow_fires(load(spark, sf_dir, "ignitions"), ground, rq._timeline(spark, 10), 480, grid.bounds(ground))
-    return fires.ring_measures(rings, ["fire_id", "t_min"]).select("fire_id", "t_min", _r("area_ha", "area_ha", 3), _r("perimeter_m", "perimeter_m", 3))
+    begun, rings = fires.grow_places(load(spark, sf_dir, "ignitions"), ground, rq._timeline(spark, 10), 480, grid.bounds(ground))
+    return fires.of_fires(begun, fires.measured(rings)).select("fire_id", "t_min", _r("area_ha", "area_ha", 3), _r("perimeter_m", "perimeter_m", 3))
 
 
 @query()

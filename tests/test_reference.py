@@ -2,6 +2,7 @@
 
 import json
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -126,6 +127,28 @@ def test_growth_in_slabs_and_off_the_grid(spark):
     assert {r["t_min"] for r in named.collect()} == {0.0}
 
 
+def test_fires_of_one_point_grow_once(spark):
+    ground = square_cells(spark)
+    weather = spark.range(12).select(F.col("id").cast("int").alias("step"), F.lit(9.0).alias("isi"), F.lit(80.0).alias("bui"), (F.col("id") * 9.0).alias("wd"), F.lit(25.0).alias("temp"), F.lit(30.0).alias("rh"))
+    at = spark.createDataFrame([(1, 450.0, -450.0), (2, 450.0, -450.0), (3, 100.0, -200.0), (3, 100.0, -200.0), (4, 9000.0, 0.0)], "fire_id long, x double, y double")
+    options = {"n": 36, "every": 6}
+    begun, rings = fires.grow_places(at, ground, weather, 12, cells.bounds(ground), **options)
+    assert sorted(r["fire_id"] for r in begun.collect()) == [1, 2, 3] and rings.count() == 2 * 3
+    got = {(r["fire_id"], r["t_min"]): (r["area_ha"], r["perimeter_m"]) for r in fires.of_fires(begun, fires.measured(rings)).collect()}
+    each = fires.ring_measures(fires.grow_fires(at, ground, weather, 12, cells.bounds(ground), **options), ["fire_id", "t_min"])
+    want = {(r["fire_id"], r["t_min"]): pytest.approx((r["area_ha"], r["perimeter_m"])) for r in each.collect()}
+    assert got == want and set(got) == {(f, t) for f in (1, 2, 3) for t in (0.0, 6.0, 12.0)} and all(got[1, t] == got[2, t] for t in (0.0, 6.0, 12.0))
+
+
+def test_turning_numbers_meet_only_edges_of_their_height():
+    ring = fronts.circle(0.0, 0.0, 10.0, 3000)
+    tracemalloc.start()
+    assert fronts.active(ring).all() and not fronts.active(ring[::-1]).any()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000
+
+
 def test_growth_in_degrees(spark):
     wide, high = cells.metres_per_degree(50.0)
     metric, degrees = square_cells(spark), square_cells(spark, size=30.0 / ((wide + high) / 2))
