@@ -260,8 +260,12 @@ def summaries(ignitions: DataFrame, rings: DataFrame, latitude: float | None = N
 
 
 def final_rings(rings: DataFrame) -> DataFrame:
-    """The last stored ring of each fire."""
-    last = rings.groupBy("fire_id").agg(F.max("t_min").alias("_t")).withColumnRenamed("fire_id", "_f")
+    """The last stored ring of each fire.
+
+    The times, which are few, may be broadcast; the vertices never are, however small their source seems.
+    """
+    last = cut(rings.groupBy("fire_id").agg(F.max("t_min").alias("_t")).withColumnRenamed("fire_id", "_f"))
+    last = broadcast_if_small(last.hint("merge"))
     return rings.join(last, (F.col("fire_id") == F.col("_f")) & (F.col("t_min") == F.col("_t"))).drop("_f", "_t")
 
 

@@ -140,6 +140,22 @@ def test_fires_of_one_point_grow_once(spark):
     assert got == want and set(got) == {(f, t) for f in (1, 2, 3) for t in (0.0, 6.0, 12.0)} and all(got[1, t] == got[2, t] for t in (0.0, 6.0, 12.0))
 
 
+def test_last_rings_do_not_broadcast_vertices(spark, monkeypatch, tmp_path):
+    spark.range(5000).withColumn("fire_id", F.col("id")).write.parquet(f"{tmp_path}/fires")
+    times = F.explode(F.sequence(F.lit(0), F.when(F.col("fire_id") % 2 == 0, 9).otherwise(0))).alias("t_min")
+    # Vertices by explode: to the planner they are as small as the fires.
+    rings = spark.read.parquet(f"{tmp_path}/fires").select("fire_id", times).select("fire_id", F.col("t_min").cast("double").alias("t_min"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("vertex_id"))
+    want = {(i, 9.0 if i % 2 == 0 else 0.0): 60 for i in range(5000)}
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48MB")
+    try:
+        for small in (fires.broadcast_if_small, lambda df: df):
+            monkeypatch.setattr(fires, "broadcast_if_small", small)
+            got = fires.final_rings(rings).groupBy("fire_id", "t_min").agg(F.count("*").alias("n"))
+            assert {(r["fire_id"], r["t_min"]): r["n"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_turning_numbers_meet_only_edges_of_their_height():
     ring = fronts.circle(0.0, 0.0, 10.0, 3000)
     tracemalloc.start()
