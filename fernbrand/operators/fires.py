@@ -99,12 +99,12 @@ def on_grid(ignitions: DataFrame, grid: dict) -> DataFrame:
     return ignitions.where(F.col("x").between(grid["x0"], grid["x1"]) & F.col("y").between(grid["y0"], grid["y1"]))
 
 
-def grow_fires(ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, **options) -> DataFrame:
+def grow_fires(ignitions: DataFrame, cells: DataFrame, weather: DataFrame, steps: int, grid: dict, *args, **options) -> DataFrame:
     """Stored rings of each fire (``fire_id``, ``x``, ``y``), a row a vertex. A fire off the grid has no ring.
 
     Arguments are those of ``grow_places``.
     """
-    fires_, rings = grow_places(ignitions, cells, weather, steps, grid, **options)
+    fires_, rings = grow_places(ignitions, cells, weather, steps, grid, *args, **options)
     return _vertices(of_fires(fires_, rings))
 
 
